@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltspark.functions.columns import fingerprint_bytes
+from siltspark.llm.history import History
 from siltspark.llm.ledger import KeyLedger, answer_errors
 from siltspark.session import table
 
@@ -31,8 +32,31 @@ def p5_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer_errors(_answers(spark, sf_dir), history, "arrival_no")
 
 
+def _duplicates(spark: SparkSession, sf_dir: str, batches: int = 2) -> DataFrame:
+    """Answers for all rows, admitted as that many batches of consecutive arrivals (each holds whole ranges of jobs)."""
+    rows = table(spark, sf_dir, "chunks_of_file").select("occurrence_id", "fingerprint", "data")
+    low, high = rows.agg(F.min("occurrence_id"), F.max("occurrence_id")).first()
+    history, out = History(spark), None
+    cuts = [low + (high - low + 1) * i // batches for i in range(batches + 1)] if low is not None else [0, 1]
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        part = history.admit(rows.filter((F.col("occurrence_id") >= lo) & (F.col("occurrence_id") < hi)), "occurrence_id", "fingerprint", "data")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _duplicates(spark, sf_dir)
+    earlier = F.coalesce(F.least("exact", "near"), "exact", "near")
+    return found.select(earlier.alias("earlier_id"), F.col("occurrence_id").alias("later_id")).filter(F.col("earlier_id").isNotNull())
+
+
+def p1_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """occurrence_id, outcome: exact, near or new."""
+    return _duplicates(spark, sf_dir).select("occurrence_id", F.when(F.col("exact").isNotNull(), "exact").when(F.col("near").isNotNull(), "near").otherwise("new").alias("outcome"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p5_found, p5_error_rate)}
+    return {f.__name__: f for f in (p1_found, p1_outcomes, p5_found, p5_error_rate)}
 
 
 #: The digits of a fingerprint in DuckDB, for a column {0}.
