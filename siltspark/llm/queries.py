@@ -8,9 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltspark.functions.columns import fingerprint_bytes
+from siltspark.llm.bpe import encode_column, read_tokenizer
 from siltspark.llm.history import History
 from siltspark.llm.ledger import KeyLedger, answer_errors
-from siltspark.session import table
+from siltspark.llm.splitting import oversized, split_files
+from siltspark.session import materialize, table
+
+#: The ranks file of byte_bpe_50k; executors need no copy.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,8 +60,25 @@ def p1_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _duplicates(spark, sf_dir).select("occurrence_id", F.when(F.col("exact").isNotNull(), "exact").when(F.col("near").isNotNull(), "near").otherwise("new").alias("outcome"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = split_files(table(spark, sf_dir, "file_segments"), with_data=False)
+    return oversized(pieces).select("job_id", "file_path")
+
+
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """job_id, file_path, offset, size, repeated, cut, sha256 of the pieces of the oversized files."""
+    segments = table(spark, sf_dir, "file_segments")
+    large = materialize(oversized(split_files(segments, with_data=False)).select("job_id", "file_path"), "oversized")
+    pieces = split_files(segments.join(large, ["job_id", "file_path"], "left_semi"))
+    return pieces.select("job_id", "file_path", "offset", "size", "repeated", "cut", F.sha2("data", 256).alias("sha256"))
+
+
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_column(table(spark, sf_dir, "documents"), "doc_id", "text", read_tokenizer(spark, TOKENIZER))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_outcomes, p5_found, p5_error_rate)}
+    return {f.__name__: f for f in (p1_found, p1_outcomes, p3_found, p3_pieces, p6_ids, p5_found, p5_error_rate)}
 
 
 #: The digits of a fingerprint in DuckDB, for a column {0}.
