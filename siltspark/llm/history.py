@@ -7,7 +7,7 @@ in bucketed tables in one folder and a batch never shuffles what earlier batches
 * sets: the packed set of every record, bucketed by record;
 * runs: the sorted neighbourhoods. Each distinct set has many sort keys, its rarest runs: by the prefix-filter theorem
   two sets of n runs that share enough must share one of their first n - ceil(similarity n) + 1 runs under any common
-  order. A batch's (key, record) entries form a sorted run in the persisted key ranges; the window around a new entry
+  order, and the places of the first one they share bound how much they can share at all. A batch's (key, record) entries form a sorted run in the persisted key ranges; the window around a new entry
   is the stretch of its key, so no matching pair is missed. Windows are narrow as rare runs come first in the order;
   the order is by a fixed-size sketch of run counts over the whole first batch, kept until compaction.
 
@@ -87,7 +87,7 @@ def _entries(order, keep_tenths: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = np.frombuffer(order.value, np.uint16).astype(np.uint64) << np.uint64(48)
         for batch in batches:
-            keys, sizes, ids = [], [], batch.column(0).to_numpy(zero_copy_only=False)
+            keys, places, ids = [], [], batch.column(0).to_numpy(zero_copy_only=False)
             ns = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             # keep_tenths / 10 is the similarity; whole numbers keep the bound exact.
             lengths = ns - (keep_tenths * ns + 9) // 10 + 1
@@ -95,7 +95,10 @@ def _entries(order, keep_tenths: int):
                 runs = unpack(value.as_buffer().to_pybytes())
                 ranked = np.sort(rank[(runs >> np.uint64(CELL_SHIFT)).astype(np.int64)] | runs)[:p]
                 keys.append(ranked.astype(np.uint32))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int32) if keys else np.zeros(0, np.int32)), pa.array(np.repeat(ids, lengths)), pa.array(np.repeat(ns, lengths).astype(np.int32))], names=["key", "id", "n"])
+                places.append(np.arange(p, dtype=np.int32))
+            none = np.zeros(0, np.int32)
+            columns = np.concatenate(keys).view(np.int32) if keys else none, np.repeat(ids, lengths), np.repeat(ns, lengths).astype(np.int32), np.concatenate(places) if places else none
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "id", "n", "place"])
 
     return run
 
@@ -139,7 +142,7 @@ class History:
 
     def _open_runs(self) -> str:
         self.stage += 1
-        return self._open(f"runs_{self.stage}", "key INT, id BIGINT, n INT, generation INT", "key")
+        return self._open(f"runs_{self.stage}", "key INT, id BIGINT, n INT, place INT, generation INT", "key")
 
     def _learn_order(self, sets: DataFrame) -> None:
         parts = sets.select("runs").mapInArrow(_sketch, "part int, counts binary").groupBy("part").applyInPandas(_add, "part int, counts binary")
@@ -178,19 +181,23 @@ class History:
         """id, near: the smallest record that a new distinct set matches, where that is smaller."""
         entries = self.spark.table(self.runs)
         new = entries.filter(F.col("generation") == self.generation)
-        blocks = entries.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("width"), F.max("generation").alias("last")).filter((F.col("width") > 1) & (F.col("last") == self.generation))
+        blocks = entries.groupBy("key").agg(F.min(F.struct("id", "n", "place")).alias("head"), F.count("*").alias("width"), F.max("generation").alias("last")).filter((F.col("width") > 1) & (F.col("last") == self.generation))
         blocks = blocks.select("key", "head", "width")
-        close = lambda x, y: F.least(x, y) * 10 >= F.greatest(x, y) * self.tenths
-        probes = materialize(new.join(blocks.hint("merge"), "key").filter(F.col("id") > F.col("head")).select("key", "id", "n", "head", "width"), "probes")
-        heads = probes.select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
+
+        def close(n, i, m, j):
+            """Whether two sets of n and m runs whose first common run is at places i and j can share enough."""
+            return F.least(n - i, m - j) * (10 + self.tenths) >= (n + m) * self.tenths
+
+        probes = materialize(new.join(blocks.hint("merge"), "key").filter(F.col("id") > F.col("head.id")).select("key", "id", "n", "place", "head", "width"), "probes")
+        heads = probes.filter(close(F.col("n"), F.col("place"), F.col("head.n"), F.col("head.place"))).select(F.col("id").alias("a"), F.col("head.id").alias("b")).distinct()
         first = materialize(self._verify(heads).groupBy("a").agg(F.min("b").alias("near")), "heads")
-        left = probes.join(first.withColumnRenamed("a", "id"), "id", "left").withColumn("below", F.coalesce("near", "id")).filter((F.col("head") < F.col("below")) & (F.col("width") > 2))
+        left = probes.withColumn("head", F.col("head.id")).join(first.withColumnRenamed("a", "id"), "id", "left").withColumn("below", F.coalesce("near", "id")).filter((F.col("head") < F.col("below")) & (F.col("width") > 2))
         # Wide windows are cut by record hash; a probe visits every part.
         parts = F.ceil(F.col("width") / WINDOW).cast("int")
-        asked = left.select("key", "id", "n", "head", "below", parts.alias("parts"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+        asked = left.select("key", "id", "n", "place", "head", "below", parts.alias("parts"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
         wide = blocks.filter(F.col("width") > 2).select("key", "width")
-        window = entries.join(wide.hint("merge"), "key").select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.pmod(F.xxhash64("id"), F.ceil(F.col("width") / WINDOW)).cast("int").alias("part"))
-        found = asked.join(window, ["key", "part"]).filter((F.col("x") > F.col("head")) & (F.col("x") < F.col("below")) & close(F.col("n"), F.col("nx")))
+        window = entries.join(wide.hint("merge"), "key").select("key", F.col("id").alias("x"), F.col("n").alias("m"), F.col("place").alias("at"), F.pmod(F.xxhash64("id"), F.ceil(F.col("width") / WINDOW)).cast("int").alias("part"))
+        found = asked.join(window, ["key", "part"]).filter((F.col("x") > F.col("head")) & (F.col("x") < F.col("below")) & close(F.col("n"), F.col("place"), F.col("m"), F.col("at")))
         pairs = found.select(F.col("id").alias("a"), F.col("x").alias("b")).distinct()
         rest = self._verify(pairs).groupBy("a").agg(F.min("b").alias("near"))
         return first.unionByName(rest).groupBy("a").agg(F.min("near").alias("near")).select(F.col("a").alias("id"), "near").repartition(self.buckets, "id")
@@ -238,8 +245,8 @@ class History:
         if self.runs is None:
             self.runs = self._open_runs()
         fresh = rows.filter("n > 0").select("id", "n", "runs").join(new.hint("shuffle_hash"), "id", "left_semi")
-        entries = fresh.select("id", "n", "runs").mapInArrow(_entries(self.order, self.tenths), "key int, id long, n int")
-        entries.select("key", "id", "n", F.lit(self.generation).alias("generation")).repartition(self.buckets, "key").sortWithinPartitions("key", "id").write.mode("append").insertInto(self.runs)
+        entries = fresh.select("id", "n", "runs").mapInArrow(_entries(self.order, self.tenths), "key int, id long, n int, place int")
+        entries.select("key", "id", "n", "place", F.lit(self.generation).alias("generation")).repartition(self.buckets, "key").sortWithinPartitions("key", "id").write.mode("append").insertInto(self.runs)
         self._near().write.mode("append").insertInto(self.nears)
         if self.generation % self.compact_every == 0:
             self.compact()
