@@ -11,6 +11,8 @@ from siltspark.functions.columns import fingerprint_bytes
 from siltspark.llm.bpe import encode_column, read_tokenizer
 from siltspark.llm.history import History
 from siltspark.llm.ledger import KeyLedger, answer_errors
+from siltspark.llm.mixing import mix_sources
+from siltspark.llm.quality import text_quality
 from siltspark.llm.splitting import oversized, split_files
 from siltspark.session import materialize, table
 
@@ -77,8 +79,26 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_column(table(spark, sf_dir, "documents"), "doc_id", "text", read_tokenizer(spark, TOKENIZER))
 
 
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source, uses, tokens of each document of the mix."""
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), read_tokenizer(spark, TOKENIZER))[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares reached, beside the targets."""
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), read_tokenizer(spark, TOKENIZER))[1]
+
+
+def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_quality(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "common_words"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_stats(spark, sf_dir).select("doc_id", "kind").filter(F.col("kind").isNotNull())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_outcomes, p3_found, p3_pieces, p6_ids, p5_found, p5_error_rate)}
+    return {f.__name__: f for f in (p1_found, p1_outcomes, p3_found, p3_pieces, p5_found, p5_error_rate, p6_ids, p7_mix, p7_shares, p8_found, p8_stats)}
 
 
 #: The digits of a fingerprint in DuckDB, for a column {0}.
