@@ -8,9 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltspark.operators.nested import flatten_listings, listed_chunks
-from siltspark.plans import backup_references
+from siltspark.plans import backup_references, documents, tables
+from siltspark.plans.sql import oracle_sql
 from siltspark.session import table
 
+__all__ = ["oracle_sql", "queries"]
+
+Query = Callable[[SparkSession, str], DataFrame]
+
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backup_references.orphans(spark, sf_dir)
@@ -28,7 +33,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed_chunks(table(spark, sf_dir, "backup_jobs"), ["job_id"]).distinct()
 
 
-def _listing(name: str) -> Callable[[SparkSession, str], DataFrame]:
+def _listing(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         # Rows of one job delivered in several states stay apart by the hash of their text.
         jobs = table(spark, sf_dir, "backup_jobs").select("job_id", F.xxhash64("files_metadata").alias("state"), "files_metadata").distinct()
@@ -38,10 +43,13 @@ def _listing(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p2_found, p2_counts, p2_arrivals, p4_found, *map(_listing, ("files", "chunks", "attributes", "access"))]
+def queries() -> dict[str, Query]:
+    d, t = documents, tables
+    found: list[Query] = [
+        d.file_segments, d.chunk_documents, d.chunk_boundaries, d.chunk_blockwise, d.chunk_blake3, d.chunk_listing, d.dedup_outcomes, d.unique_chunks,
+        d.incremental_ingest, d.job_summary, d.file_progress, d.dedup_ratios, d.lru_outcomes, d.filter_slots, d.filter_misses, d.filter_removals,
+        d.put_validation, d.chunk_lookup, d.manifest, d.manifest_json, d.restore_roundtrip, d.restore_segments, d.streamed_files, d.stored_backup,
+        t.update_chunks, t.latest_jobs, t.recent_chunks, t.constraints, t.session_violations,
+        p2_found, p2_counts, p2_arrivals, p4_found, *map(_listing, ("files", "chunks", "attributes", "access")),
+    ]
     return {f.__name__: f for f in found}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
