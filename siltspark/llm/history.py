@@ -11,10 +11,10 @@ in bucketed tables in one folder and a batch never shuffles what earlier batches
   is the stretch of its key, so no matching pair is missed. Windows are narrow as rare runs come first in the order;
   the order is by a fixed-size sketch of run counts over the whole first batch, kept until compaction.
 
-A window is searched twice. First each entry meets only the head of its window, the smallest record; in a cluster of
-thousands of variants that already finds the earliest match. Then only entries of windows with a head earlier than the
-match found so far meet their windows, up to that match. So groups of copies or variants give no all-pairs work, and
-wide windows are split by record hash."""
+A wide window is searched twice. First each entry meets only the head of the window, the smallest record; in a cluster
+of thousands of variants that already finds the earliest match. Then only entries of windows with a head earlier than
+the match found so far meet their windows, up to that match. So groups of copies or variants give no all-pairs work,
+and wide windows are split by record hash. Sets are compared only for pairs that share as many keys as they must."""
 
 from __future__ import annotations
 
@@ -37,6 +37,8 @@ CELL_SHIFT = 8 * WIDTH - 16
 CELLS = 1 << 16
 #: Entries of a window that one group of the search holds.
 WINDOW = 4096
+#: In windows with more entries than that, each entry meets the head before all others.
+STAR = 64
 #: A key with more than this share of a batch's rows is looked up from a broadcast of at most 1 / share rows.
 HEAVY_SHARE = 0.001
 #: Files that a batch may add to the sets without bringing them into buckets first.
@@ -189,16 +191,22 @@ class History:
             return F.least(n - i, m - j) * (10 + self.tenths) >= (n + m) * self.tenths
 
         probes = materialize(new.join(blocks.hint("merge"), "key").filter(F.col("id") > F.col("head.id")).select("key", "id", "n", "place", "head", "width"), "probes")
-        heads = probes.filter(close(F.col("n"), F.col("place"), F.col("head.n"), F.col("head.place"))).select(F.col("id").alias("a"), F.col("head.id").alias("b")).distinct()
+        wide = (F.col("width") > STAR) & close(F.col("n"), F.col("place"), F.col("head.n"), F.col("head.place"))
+        heads = probes.filter(wide).select(F.col("id").alias("a"), F.col("head.id").alias("b")).distinct()
         first = materialize(self._verify(heads).groupBy("a").agg(F.min("b").alias("near")), "heads")
-        left = probes.withColumn("head", F.col("head.id")).join(first.withColumnRenamed("a", "id"), "id", "left").withColumn("below", F.coalesce("near", "id")).filter((F.col("head") < F.col("below")) & (F.col("width") > 2))
+        below = probes.select("key", "id", "n", "place", F.col("head.id").alias("head"), "width").join(first.withColumnRenamed("a", "id"), "id", "left").withColumn("below", F.coalesce("near", "id"))
         # Wide windows are cut by record hash; a probe visits every part.
         parts = F.ceil(F.col("width") / WINDOW).cast("int")
-        asked = left.select("key", "id", "n", "place", "head", "below", parts.alias("parts"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-        wide = blocks.filter(F.col("width") > 2).select("key", "width")
-        window = entries.join(wide.hint("merge"), "key").select("key", F.col("id").alias("x"), F.col("n").alias("m"), F.col("place").alias("at"), F.pmod(F.xxhash64("id"), F.ceil(F.col("width") / WINDOW)).cast("int").alias("part"))
-        found = asked.join(window, ["key", "part"]).filter((F.col("x") > F.col("head")) & (F.col("x") < F.col("below")) & close(F.col("n"), F.col("place"), F.col("m"), F.col("at")))
-        pairs = found.select(F.col("id").alias("a"), F.col("x").alias("b")).distinct()
+        asked = below.filter(F.col("head") < F.col("below")).select("key", "id", "n", "place", "below", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+        window = entries.join(blocks.select("key", "width").hint("merge"), "key").select("key", F.col("id").alias("x"), F.col("n").alias("m"), F.col("place").alias("at"), F.pmod(F.xxhash64("id"), F.ceil(F.col("width") / WINDOW)).cast("int").alias("part"))
+        n, m, t = F.col("n"), F.col("m"), self.tenths
+        met = asked.join(window, ["key", "part"]).filter((F.col("x") < F.col("below")) & (F.least(n, m) * 10 >= F.greatest(n, m) * t))
+        # All keys that a pair shares are met here, as each of their windows has a head below. Of the runs two matching
+        # sets share, only those beyond the keys of the one whose keys end first can be missing among the keys.
+        kept = lambda c: F.floor((c * t + 9) / 10) - 1
+        least = F.ceil((n + m) * t / (10 + t)) - F.greatest(kept(n), kept(m))
+        shared = met.groupBy(F.col("id").alias("a"), F.col("x").alias("b"), "n", "m").agg(F.count("*").alias("keys"), F.max(close(n, F.col("place"), m, F.col("at"))).alias("close"))
+        pairs = shared.filter(F.col("close") & (F.col("keys") >= least)).select("a", "b")
         rest = self._verify(pairs).groupBy("a").agg(F.min("b").alias("near"))
         return first.unionByName(rest).groupBy("a").agg(F.min("near").alias("near")).select(F.col("a").alias("id"), "near").repartition(self.buckets, "id")
 

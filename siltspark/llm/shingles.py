@@ -9,8 +9,8 @@ import xxhash
 
 #: Unbroken letters and digits.
 WORD = re.compile(r"[^\W_]+")
-#: Bytes kept of a run's hash; two runs of a pair of texts collide with a chance of about 1e-10.
-WIDTH = 6
+#: Bytes kept of a run's hash; two runs among some hundred of a pair of texts collide with a chance of about 1e-7.
+WIDTH = 5
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _CACHE: dict[str, int] = {}
 _CACHE_WORDS = 500_000
