@@ -8,6 +8,7 @@ compared with those of each language's prose in the same way."""
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,6 +59,7 @@ _EDGE = ".,;:!?…。、，！？；：»«\"'”“’)(*_`"
 _ENDS = tuple(".!?…。！？")
 _WORDS = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 _FAR_EAST = re.compile(r"[぀-ヿ㐀-鿿가-힯฀-๿]")
+_ALNUM = re.compile(r"[^\W_]")
 _CLASS = re.compile(r"[A-Z]+|[a-z]+|[0-9]+|[^A-Za-z0-9\s]+")
 
 
@@ -79,14 +81,14 @@ def _noise(s: str) -> bool:
     if odd * 6 > n and n >= 3:
         return True
     kinds = len(set(solid))
-    if n >= 6 and not any(c.isalnum() for c in solid):
+    if n >= 6 and not _ALNUM.search(solid):
         return kinds > 4 or kinds <= 2 or not set(solid) <= set("(){}[];,.:")
     if n >= 10 and kinds <= 2:
         return True
     if _DUMP.match(s) or _PAIRS.match(s) or _LONGHEX.match(s):
         return True
     parts = s.split()
-    if sum(len(p) for p in parts if _scattered(p)) * 2 > n:
+    if sum([len(p) for p in parts if len(p) >= 16 and _scattered(p)]) * 2 > n:
         return True
     inner = len(_INNER.findall(s))
     if inner:
@@ -97,21 +99,44 @@ def _noise(s: str) -> bool:
     return False
 
 
+def _tally(text: str) -> tuple[int, int, int]:
+    """Blanks, upper-case letters and digits of a text."""
+    if text.isascii():
+        codes, counts = np.arange(128), np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=128)
+    else:
+        codes, counts = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)
+    blank = upper = digits = 0
+    for c, n in zip(codes[counts > 0].tolist(), counts[counts > 0].tolist()):
+        x = chr(c)
+        blank += n * x.isspace()
+        upper += n * x.isupper()
+        digits += n * x.isdigit()
+    return blank, upper, digits
+
+
 class LineCounter:
     def __init__(self, common: dict[str, list[str]]):
         """common: function words of each language, most frequent first."""
         self.words = frozenset(w for ws in common.values() for w in ws)
 
     def _parts(self, text: str, counts: list[int]) -> None:
+        words = self.words
         for token in text.split():
+            if token.isalpha() and token.isascii():
+                # Plain words are most of all tokens.
+                if token.lower() in words:
+                    counts[FUNC] += 1
+                else:
+                    counts[CODE if token in _KEYWORDS else WORD] += 1
+                continue
             bare = token.strip(_EDGE)
             if _NUMBER.match(token):
                 counts[NUM] += 1
             elif not bare:
                 counts[CODE if _CODE_TOKEN.search(token) else STOP] += 1
-            elif _scattered(token):
+            elif len(token) >= 16 and _scattered(token):
                 counts[NOISE] += 1
-            elif _FAR_EAST.search(token):
+            elif not token.isascii() and _FAR_EAST.search(token):
                 # Scripts without blanks: one run of characters holds many words, particles among them.
                 counts[FUNC] += 1
                 counts[WORD] += 1
@@ -124,9 +149,13 @@ class LineCounter:
                 counts[STOP] += token[-1] in ".,!?:"
 
     def count(self, line: str, in_diff: bool) -> list[int] | None:
-        """Counts of a line that is not blank; None for headers and trailers, which are of no kind."""
-        s = line.translate(_BLANKS)
-        if _HEADER.match(" ".join(s[:80].split()) if s[0] not in "+- " else s[0] + " ".join(s[1:80].split())):
+        """Counts of a line that is not blank, with its blanks made plain; None for headers and trailers, which are of no
+        kind."""
+        s = line
+        lead = s[:80]
+        if "  " in lead or "\t" in lead:
+            lead = " ".join(lead.split()) if s[0] not in "+- " else s[0] + " ".join(lead[1:].split())
+        if _HEADER.match(lead):
             return None
         if s[0] == "+" or in_diff and s[0] in "- ":
             s = s[1:]
@@ -219,7 +248,8 @@ class Quality:
         chars = np.zeros((len(texts), 6))
         for d, text in enumerate(texts):
             text = text or ""
-            lines = [x for x in _BREAK.split(text) if x and x.translate(_BLANKS).strip()]
+            plain = text if text.isascii() else text.translate(_BLANKS)
+            lines = [x for x in _BREAK.split(plain) if x and not x.isspace()]
             in_diff = False
             ended = 0
             for line in lines:
@@ -232,13 +262,14 @@ class Quality:
             words = _WORDS.findall(text)
             common = 0
             get = self.index.get
-            for w in words:
-                i = get(w.lower())
+            for w, n in Counter(map(str.lower, words)).items():
+                i = get(w)
                 if i is not None:
-                    common += 1
-                    funcs[d, i] += 1
-            ink = len(text) - sum(map(str.isspace, text)) if not text.isascii() else len("".join(text.split()))
-            letters, upper, digits = sum(map(len, words)), sum(1 for c in text if c.isupper()), sum(1 for c in text if c.isdigit())
+                    common += n
+                    funcs[d, i] += n
+            letters = sum(map(len, words))
+            blank, upper, digits = _tally(text)
+            ink = len(text) - blank
             symbols = max(0, ink - letters)
             stops = sum(map(text.count, ".,!?:;。、"))
             chars[d] = max(0, letters - upper - digits), upper, digits, len(text) - ink, min(stops, symbols), max(0, symbols - stops)
