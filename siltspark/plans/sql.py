@@ -68,10 +68,10 @@ def oracle_sql() -> dict[str, str]:
         "SELECT 'restore-0' AS restore_job_id, file_id, o AS \"offset\", o + 4096 >= n AS is_last_segment, sha256(unhex(substr(h, 2 * o + 1, 8192))) AS sha256 FROM r",
         "streamed_files": f"WITH {FILES} SELECT job AS job_id, file_id::VARCHAR AS file_path, octet_length(encode(text)) AS size, sha256(encode(text)) AS sha256 FROM files WHERE text <> ''",
         "stored_backup": f"WITH {FILES} SELECT job AS job_id, file_id::VARCHAR AS file_path, true AS complete, sha256(encode(text)) AS sha256 FROM files WHERE text <> '' AND job = 'mainline'",
-        "update_chunks": f"WITH c AS (SELECT {KEY.format('fingerprint')} AS fp, * EXCLUDE (fingerprint) FROM chunks), m AS (SELECT fp, min(creation_time) AS t FROM c WHERE fp IS NOT NULL GROUP BY fp), "
-        "f AS (SELECT fp, arg_min(struct_pack(size := size, l := storage_location), creation_time) AS v FROM c WHERE fp IS NOT NULL GROUP BY fp), "
+        "update_chunks": f"WITH c AS (SELECT {KEY.format('fingerprint')} AS fp, * EXCLUDE (fingerprint) FROM chunks), "
+        "f AS (SELECT fp, size, storage_location FROM (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY creation_time NULLS FIRST, size NULLS FIRST, storage_location NULLS FIRST) AS rn FROM c WHERE fp IS NOT NULL) WHERE rn = 1), "
         f"s AS (SELECT {KEY.format('object_key')} AS fp, max(size) AS size FROM chunk_store GROUP BY 1) "
-        "SELECT f.fp AS fingerprint, CASE WHEN s.fp IS NOT NULL THEN s.size ELSE v.size END AS size, CASE WHEN s.fp IS NOT NULL THEN 'minio://dedupe-chunks/' || s.fp ELSE v.l END AS storage_location FROM f LEFT JOIN s USING (fp)",
+        "SELECT f.fp AS fingerprint, CASE WHEN s.fp IS NOT NULL THEN s.size ELSE f.size END AS size, CASE WHEN s.fp IS NOT NULL THEN 'minio://dedupe-chunks/' || s.fp ELSE f.storage_location END AS storage_location FROM f LEFT JOIN s USING (fp)",
         "latest_jobs": "SELECT job_id, status, end_time FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY end_time DESC NULLS LAST, status DESC, client_id DESC) AS rn FROM backup_jobs) WHERE rn = 1",
         "recent_chunks": "SELECT fingerprint, size, last_referenced_time FROM chunks WHERE last_referenced_time < TIMESTAMPTZ '2025-01-01 00:00:00+00'",
         "constraints": " UNION ALL ".join(f"SELECT '{c} not null' AS \"constraint\", count(*) FILTER ({c} IS NULL) AS rows FROM chunks" for c in ("fingerprint", "storage_location", "size", "creation_time", "last_referenced_time"))
@@ -96,7 +96,7 @@ doc AS (SELECT job_id, start_time, end_time, t::JSON AS j FROM once WHERE json_v
 tree AS (SELECT job_id, start_time, end_time, json_extract_string(j, '$.tree.name') AS path, json_extract(j, '$.tree') AS f FROM doc WHERE json_type(j) = 'OBJECT' AND json_type(j, '$.tree') = 'OBJECT'
   UNION ALL SELECT job_id, start_time, end_time, path || '/' || json_extract_string(s, '$.name'), s FROM (SELECT job_id, start_time, end_time, path, unnest(from_json(json_extract(f, '$.folders'), '["JSON"]')) AS s FROM tree WHERE json_type(f, '$.folders') = 'ARRAY')),
 listed AS (SELECT job_id, start_time, end_time, unnest(from_json(CASE WHEN json_type(j) = 'ARRAY' THEN j ELSE json_extract(j, '$.files') END, '["JSON"]')) AS f FROM doc WHERE json_type(j) = 'ARRAY' OR json_type(j, '$.files') = 'ARRAY'),
-named AS (SELECT job_id, start_time, end_time, unnest(map_entries(from_json(json_extract(j, '$.files'), '{{"*": "JSON"}}'))) AS m FROM doc WHERE json_type(j) = 'OBJECT' AND json_type(j, '$.files') = 'OBJECT'),
+named AS (SELECT job_id, start_time, end_time, unnest(map_entries(json_extract(j, '$.files')::MAP(VARCHAR, JSON))) AS m FROM doc WHERE json_type(j) = 'OBJECT' AND json_type(j, '$.files') = 'OBJECT'),
 file AS (SELECT job_id, start_time, end_time, json_extract_string(f, '$.path') AS file_path, f FROM listed
   UNION ALL SELECT job_id, start_time, end_time, m.key, m.value FROM named
   UNION ALL SELECT job_id, start_time, end_time, path || '/' || json_extract_string(s, '$.name'), s FROM (SELECT job_id, start_time, end_time, path, unnest(from_json(json_extract(f, '$.files'), '["JSON"]')) AS s FROM tree WHERE json_type(f, '$.files') = 'ARRAY')),
@@ -109,10 +109,10 @@ P2 = P4 + f""", c AS (SELECT {KEY.format('fingerprint')} AS fp, {KEY.format('sto
 g AS (SELECT {KEY.format('fingerprint')} AS fp, deleted_at FROM gc_log), o AS (SELECT {KEY.format('object_key')} AS fp, stored_at, deleted_at FROM chunk_store),
 wk AS (SELECT {KEY.format('fingerprint')} AS fp FROM wellknown_chunks),
 r1 AS (SELECT DISTINCT job_id, strftime(start_time, '%Y-%m') AS period, end_time AS t, fp FROM k WHERE fp IS NOT NULL AND fp NOT IN (SELECT fp FROM wk)),
-l1 AS (SELECT r1.job_id, r1.period, r1.t, r1.fp, count(c.fp) AS n, coalesce(bool_or((r1.t IS NULL OR c.creation_time <= r1.t) AND NOT EXISTS (SELECT 1 FROM g WHERE g.fp = c.fp AND g.deleted_at >= c.creation_time AND (r1.t IS NULL OR g.deleted_at <= r1.t))), false) AS alive,
+l1 AS (SELECT r1.job_id, r1.period, r1.t, r1.fp, count(c.fp) AS n, coalesce(bool_or(c.fp IS NOT NULL AND (r1.t IS NULL OR c.creation_time <= r1.t) AND NOT EXISTS (SELECT 1 FROM g WHERE g.fp = c.fp AND g.deleted_at >= c.creation_time AND (r1.t IS NULL OR g.deleted_at <= r1.t))), false) AS alive,
   coalesce(bool_and(r1.t IS NOT NULL AND c.creation_time > r1.t), false) AS late FROM r1 LEFT JOIN c ON c.fp = r1.fp GROUP BY ALL),
 r2 AS (SELECT DISTINCT fp, strftime(creation_time, '%Y-%m') AS period, last_referenced_time AS t, loc FROM c WHERE fp IS NOT NULL AND loc IS NOT NULL),
-l2 AS (SELECT r2.fp, r2.period, r2.t, r2.loc, count(o.fp) AS n, coalesce(bool_or((r2.t IS NULL OR o.stored_at <= r2.t) AND (o.deleted_at IS NULL OR r2.t IS NOT NULL AND o.deleted_at > r2.t)), false) AS alive,
+l2 AS (SELECT r2.fp, r2.period, r2.t, r2.loc, count(o.fp) AS n, coalesce(bool_or(o.fp IS NOT NULL AND (r2.t IS NULL OR o.stored_at <= r2.t) AND (o.deleted_at IS NULL OR r2.t IS NOT NULL AND o.deleted_at > r2.t)), false) AS alive,
   coalesce(bool_and(r2.t IS NOT NULL AND o.stored_at > r2.t), false) AS late FROM r2 LEFT JOIN o ON o.fp = r2.loc GROUP BY ALL)
 SELECT DISTINCT 'backup_jobs' AS source_table, period, job_id AS source_key, fp AS target_key, CASE WHEN n = 0 THEN 'missing' WHEN late THEN 'late' ELSE 'deleted' END AS kind FROM l1 WHERE NOT alive
 UNION SELECT DISTINCT 'chunks', period, fp, loc, CASE WHEN n = 0 THEN 'missing' WHEN late THEN 'late' ELSE 'deleted' END FROM l2 WHERE NOT alive"""

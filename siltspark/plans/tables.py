@@ -15,10 +15,10 @@ from siltspark.session import table
 def update_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fingerprint, size, storage_location: the first row of each chunk, updated from the object store."""
     key = fingerprint_key("fingerprint").alias("fingerprint")
-    held = first_occurrences(table(spark, sf_dir, "chunks").select(key, "size", "storage_location", "creation_time"), ["creation_time"], ["size", "storage_location"])
+    held = first_occurrences(table(spark, sf_dir, "chunks").select(key, "size", "storage_location", "creation_time"), ["creation_time", "size", "storage_location"])
     fresh = table(spark, sf_dir, "chunk_store").select(fingerprint_key("object_key").alias("fingerprint"), "size").groupBy("fingerprint").agg(F.max("size").alias("size"))
     fresh = fresh.select("fingerprint", "size", F.concat(F.lit(EngineConfig().location_prefix), "fingerprint").alias("storage_location"))
-    return store.update_by_key(held.groupBy("fingerprint").agg(F.max("size").alias("size"), F.max("storage_location").alias("storage_location")), fresh, "fingerprint")
+    return store.update_by_key(held.select("fingerprint", "size", "storage_location"), fresh, "fingerprint")
 
 
 def latest_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event log as sessions: every seventh event starts a job, every following one ends a job."""
     n = F.col("event_id")
     kind = F.when(n % 7 == 0, "START").when(n % 7 == 1, "END").otherwise("SEGMENT")
-    return table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("stream_id"), n.alias("seq"), kind.alias("event_type"), F.concat(F.lit("job-"), (n % 5).cast("string")).alias("backup_job_id"), F.unix_seconds("ts").alias("timestamp"), F.when(n % 2 == 0, "COMPLETED").otherwise("FAILED").alias("status"))
+    return table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("stream_id"), n.alias("seq"), kind.alias("event_type"), F.concat(F.lit("job-"), (n % 5).cast("string")).alias("backup_job_id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("timestamp"), F.when(n % 2 == 0, "COMPLETED").otherwise("FAILED").alias("status"))
 
 
 def session_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
