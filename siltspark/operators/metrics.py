@@ -37,7 +37,7 @@ def final_message(files: str, chunks: str) -> Column:
 def dedup_ratios(chunks: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Of each group: chunks, unique_chunks, total_bytes, dedup_ratio_exact (bytes of repeats over all bytes) and
     dedup_ratio_approx (taking every unique chunk to be as large as the first); percent, 0 where there are no bytes."""
-    by_fp = chunks.groupBy(*keys, "fingerprint").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.max("size").alias("one"), F.min(F.struct(*order, "size")).alias("first"))
-    out = by_fp.groupBy(*keys).agg(F.sum("n").alias("chunks"), F.count("*").alias("unique_chunks"), F.sum("bytes").alias("total_bytes"), F.sum("one").alias("_unique"), F.min("first").alias("_first"))
+    by_fp = chunks.groupBy(*keys, "fingerprint").agg(F.count("*").alias("_n"), F.sum("size").alias("_bytes"), F.max("size").alias("_one"), F.min(F.struct(*order, F.col("size").alias("_size"))).alias("_row"))
+    out = by_fp.groupBy(*keys).agg(F.sum("_n").alias("chunks"), F.count("*").alias("unique_chunks"), F.sum("_bytes").alias("total_bytes"), F.sum("_one").alias("_unique"), F.min("_row").alias("_first"))
     share = lambda kept: F.when(F.col("total_bytes") > 0, F.round((F.col("total_bytes") - kept) / F.col("total_bytes") * 100, 6)).otherwise(F.lit(0.0))
-    return out.select(*keys, "chunks", "unique_chunks", "total_bytes", share(F.col("_unique")).alias("dedup_ratio_exact"), share(F.col("unique_chunks") * F.col("_first.size")).alias("dedup_ratio_approx"))
+    return out.select(*keys, "chunks", "unique_chunks", "total_bytes", share(F.col("_unique")).alias("dedup_ratio_exact"), share(F.col("unique_chunks") * F.col("_first._size")).alias("dedup_ratio_approx"))

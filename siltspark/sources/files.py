@@ -18,7 +18,8 @@ SEGMENT_SCHEMA = T.StructType([
 
 
 def binary_files(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = True) -> DataFrame:
-    """path, size, modified, content of each file below path. Fails if the path is empty or does not exist."""
+    """path, size, modified, content of each file below path. Fails if the path is empty or does not exist. Files
+    without bytes are not listed; a client sends nothing for them either."""
     if not path:
         raise ValueError("a path is needed")
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
