@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from siltspark.functions.columns import fingerprint_bytes, sha2_hex
 from siltspark.llm.ledger import KeyLedger
 from siltspark.llm.shingles import WIDTH, pack, run_set, unpack
+from siltspark.operators.store import VersionedTable
 from siltspark.session import default_parallelism, materialize, scratch_path
 
 #: Cells of the sketch: the upper 16 bits of a run's hash.
@@ -120,8 +121,9 @@ def _matches(keep_tenths: int):
 
 
 class History:
-    """State of all batches admitted so far. Batches come in order of their ids: a batch's ids are greater than those
-    admitted before."""
+    """State of all batches admitted so far; the same path, parameters and buckets open it again. Batches come in order of
+    their ids: a batch's ids are greater than those admitted before. A batch is admitted once, by one writer; if its
+    driver dies on the way, the folder must be put back to what it was."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, k: int = 3, similarity_tenths: int = 7, buckets: int | None = None, compact_every: int = 8):
         """similarity_tenths: the similarity times ten. buckets: of every table, fixed when they are made.
@@ -133,9 +135,14 @@ class History:
         self.wholes = KeyLedger(spark, f"{self.path}/wholes", self.buckets)
         self.sets = self._open("sets", "id BIGINT, fp BINARY, n INT, whole BINARY, runs BINARY, generation INT", "id")
         self.nears = self._open("nears", "id BIGINT, near BIGINT", "id")
-        self.runs, self.stage = None, 0
-        self.order = None
-        self.generation = 0
+        self.state = VersionedTable(spark, f"{self.path}/state", "generation int, stage int, ranks binary")
+        self.runs = self.order = None
+        self.generation = self.stage = 0
+        saved = self.state.read().first()
+        if saved:
+            self.generation, self.stage = saved["generation"], saved["stage"] - 1
+            self.runs = self._open_runs()
+            self.order = spark.sparkContext.broadcast(bytes(saved["ranks"]))
 
     def _open(self, name: str, columns: str, key: str) -> str:
         table = f"siltspark_{name}_{uuid.uuid4().hex}"
@@ -258,6 +265,7 @@ class History:
         self._near().write.mode("append").insertInto(self.nears)
         if self.generation % self.compact_every == 0:
             self.compact()
+        self.state.replace(self.spark.createDataFrame([(self.generation, self.stage, bytearray(self.order.value))], self.state.schema))
         out = self._lookup(light, "whole", self.wholes, "same", self.spark.table(self.nears))
         out = self._lookup(out, "fp", self.fingerprints, "first")
         earlier = lambda c: F.when(F.col(c) < F.col("id"), F.col(c))

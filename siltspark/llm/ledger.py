@@ -30,23 +30,24 @@ class KeyLedger:
         self.buckets = buckets or default_parallelism(spark)
         self.path = path or scratch_path(spark, "ledger")
         self.name = f"siltspark_ledger_{uuid.uuid4().hex}"
-        spark.sql(f"CREATE TABLE {self.name} (key BINARY, first_at BIGINT, generation INT) USING parquet CLUSTERED BY (key) SORTED BY (key) INTO {self.buckets} BUCKETS LOCATION '{self.path}'")
-        last = spark.table(self.name).agg(F.max("generation")).first()[0]
-        self.generation = -1 if last is None else last
+        spark.sql(f"CREATE TABLE {self.name} (key BINARY, first_at BIGINT, generation BIGINT) USING parquet CLUSTERED BY (key) SORTED BY (key) INTO {self.buckets} BUCKETS LOCATION '{self.path}'")
+        self.empty = spark.table(self.name).limit(1).count() == 0
 
     def keys(self) -> DataFrame:
         return self.spark.table(self.name)
 
     def _append(self, firsts: DataFrame) -> int:
-        self.generation += 1
-        rows = firsts.select("key", "first_at", F.lit(self.generation).alias("generation"))
+        # Generations have random names: a name never means two sets of files, whoever else opened the ledger.
+        generation = uuid.uuid4().int >> 66
+        rows = firsts.select("key", "first_at", F.lit(generation).alias("generation"))
         rows.repartition(self.buckets, "key").sortWithinPartitions("key").write.mode("append").insertInto(self.name)
-        return self.generation
+        self.empty = False
+        return generation
 
     def _new(self, batch: DataFrame, key: Column, at: Column) -> DataFrame:
         """key, first_at of the batch's keys that the ledger lacks."""
         firsts = batch.select(key.alias("key"), F.coalesce(at.cast("long"), F.lit(_LAST)).alias("at")).filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("at").alias("first_at"))
-        if self.generation < 0:
+        if self.empty:
             return firsts
         known = self.keys().select("key", F.lit(True).alias("known")).hint("merge")
         return firsts.join(known, "key", "left").filter(F.col("known").isNull()).select("key", "first_at")
@@ -65,6 +66,8 @@ class KeyLedger:
         at_col = F.coalesce(F.col(f"`{at}`").cast("long"), F.lit(_LAST))
         generation = self._append(self._new(batch, key, F.col(f"`{at}`")))
         new = self.keys().filter(F.col("generation") == generation).select(F.col("key").alias("_k"), F.col("first_at").alias("_a"), F.lit(True).alias("_new"))
+        # Away from the buckets of keys: a key with a third of the rows would have one task.
+        new = new.repartition("_a", "_k")
         rows = batch.select(F.col(f"`{at}`").alias("at"), at_col.alias("_at"), key.alias("key"))
         out = rows.join(new, (F.col("_at") == F.col("_a")) & (F.col("key") == F.col("_k")), "left")
         return out.select(F.col("at").alias(at), "key", (F.col("key").isNotNull() & F.col("_new").isNull()).alias("seen"))

@@ -179,5 +179,5 @@ def mix_sources(documents: DataFrame, targets: DataFrame, tokenizer, total: int
     sums = selection.groupBy("source").agg(F.count("*").alias("documents"), F.sum("uses").alias("uses"), F.sum(F.col("uses") * F.col("tokens")).alias("tokens"))
     shares = wanted.join(sums, "source", "left").na.fill(0, ["documents", "uses", "tokens"])
     everything = Window.partitionBy(F.lit(0))  # one row a source
-    shares = shares.withColumn("actual_share", F.coalesce(F.col("tokens") / F.sum("tokens").over(everything), F.lit(0.0)))
+    shares = shares.withColumn("actual_share", F.coalesce(F.try_divide(F.col("tokens"), F.sum("tokens").over(everything)), F.lit(0.0)))
     return selection, shares

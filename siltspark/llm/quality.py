@@ -167,7 +167,7 @@ class LineCounter:
             counts[CELL] = 1
             return counts
         cells = None
-        if " " not in s and "\t" not in s and (s.count(",") >= 1 or s.count(";") >= 2):
+        if " " not in s and "\t" not in s and ("," in s or ";" in s):
             cells = [c.strip("\"'") for c in s.split("," if s.count(",") >= s.count(";") else ";")]
             if not all(map(_SIMPLE.match, cells)) or len(cells) == 2 and not any(map(_NUMBER.match, cells)):
                 cells = None
