@@ -199,8 +199,8 @@ class LineCounter:
                 if _NUMBER.match(key[2].split()[0]) or s.count(":") == 1 and len(s.split()) <= 4 and "=" not in s:
                     cells = [key[1], key[2]]
         if cells is not None and len(cells) > 1:
-            functional = sum(w.lower() in self.words for c in cells for w in c.split())
-            if functional * 5 <= len(s.split()):
+            inside = [w.lower() for c in cells for w in c.split()]
+            if sum(w in self.words for w in inside) * 5 <= len(inside):
                 for c in cells:
                     counts[NUM if _NUMBER.match(c.strip()) else WORD] += bool(c.strip())
                 counts[CELL] = len(cells)

@@ -8,7 +8,7 @@ PROSE = "The window of the cache is not handed to the reader, and it is late.\nI
 CODE = "diff --git a/x.js b/x.js\n@@ -1,3 +1,4 @@ func main()\n+    for i in range(n):\n-    self.cache[i] = items[3]\n+    if cursor == nil {\n+        return worker(item, 4)\n+    // the worker of the cache\n }\n"
 TEXTS = {
     "list": ["\n".join(f"{m}worker cache alpha" for _ in range(5)) for m in ("- ", "* ", "  • ", "- [ ] ", "1. ", "(a) ", "+ - ", "")] + ["M\tsrc/a.go\nA\tsrc/b.go\nD\tsrc/c.go", "* fix cache (#12)\n* drop worker (#13)\n* add token (#14)"],
-    "table": ["| a | 12.5 | - |\n|---|---|---|\n| b | 3% | 7 |", "name,12,3%\nkey,4,-\nzed,9,8.1", '"a";"12.5"\n"b";"3"\n"c";"-"', "alpha\t1\t2\n-\t3%\t7\nbeta\t5\t6", "   a1      12.5     30%\n   beta      -      7.1\n   gam     4.0      9", "worker cache ......  123\ntoken ............   45\nslot .............   6"],
+    "table": ["| a | 12.5 | - |\n|---|---|---|\n| b | 3% | 7 |", "name,12,3%\nkey,4,-\nzed,9,8.1", '"x";"12.5"\n"b";"3"\n"c";"-"', "alpha\t1\t2\n-\t3%\t7\nbeta\t5\t6", "   a1      12.5     30%\n   beta      -      7.1\n   gam     4.0      9", "worker cache ......  123\ntoken ............   45\nslot .............   6"],
     "junk": ["~~~~~~~~~~~~\n~~~~~~~~~\n~~~~~~~~~~~~~~~~", "00000000  f6 42 a9 5a 3b ec f8 9f\n00000010  b7 1a 5d a6 0b d3 31 59\n00000020  18 39 c9 45 12 46 69 be", "gq83Dglt/iM6v1a93p4L8q8pR4gsGdek1859wG9+Cz1aMt\nf3XKxIwEggoPzAV0qH5xjUDmxbELq+qOETp+TPKW2aTKCo\nl3UhDXEsRF8n6JN4AwhSVWtdPyjltOailgrmmi1zg66nFU", "Ő����É�╫▙Ĵõė╦\n╼�çķ┬�╾�┏�ö�◎\nŎ�����┗◦�Ïŏ┑◊", "q]we;rt[y kl;[jw\n;k[oiu]qw e[rj;a\nfj;sl[d] oq;k[w"],
     None: [PROSE, CODE, "", None, " \n\t\n", "Update generated files", "the cache is late\nand so it is\nfor the rest of the worker\nin the window", "Merge branch 'x' into y\n# Conflicts:\n#\tsrc/a.go\n#\tsrc/b.go\n#\tsrc/c.go"],
 }
