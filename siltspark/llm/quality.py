@@ -200,7 +200,8 @@ class LineCounter:
                     cells = [key[1], key[2]]
         if cells is not None and len(cells) > 1:
             inside = [w.lower() for c in cells for w in c.split()]
-            if sum(w in self.words for w in inside) * 5 <= len(inside):
+            # Blanks of prose can look like gaps and tabs between cells; bars, commas and semicolons without blanks don't.
+            if sum(w in self.words for w in inside) * (5 if "\t" in s or "  " in s and "|" not in s else 2) <= len(inside):
                 for c in cells:
                     counts[NUM if _NUMBER.match(c.strip()) else WORD] += bool(c.strip())
                 counts[CELL] = len(cells)
