@@ -75,7 +75,7 @@ def _scattered(token: str) -> bool:
 
 def _noise(s: str) -> bool:
     """Lines of encoded bytes, dumps, repeated or random characters, keyboard noise."""
-    solid = s.replace(" ", "")
+    solid = "".join(s.split())
     n = len(solid)
     odd = sum(1 for c in solid if c == "�" or "←" <= c <= "⯿" or "" <= c <= "" or c < " " or "\x7f" <= c <= "\x9f") if not s.isascii() or not s.isprintable() else 0
     if odd * 6 > n and n >= 3:
@@ -185,7 +185,7 @@ class LineCounter:
             cells = [lead[1], lead[2]]
         elif s.count("|") + s.count("│") >= 2 and " || " not in s:
             cells = [c.strip() for c in re.split(r"[|│]", s.strip("|│"))]
-        elif "\t" in s and not mark:
+        elif "\t" in s and (not mark or len([c for c in s.split("\t") if c.strip()]) > 2):
             cells = [c.strip() for c in s.split("\t") if c.strip()]
         elif not mark or s.startswith("- ") and len(_GAP.split(s)) > 2:
             split = _GAP.split(s)
