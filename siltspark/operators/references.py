@@ -51,7 +51,7 @@ def orphans_by_mask(refs: DataFrame, targets: DataFrame, keys: list[str], target
 def temporal_orphans(refs: DataFrame, targets: DataFrame, deletions: DataFrame | None = None, salts: int = SALTS) -> DataFrame:
     """The rows of refs whose target does not live at their time, with kind.
 
-    refs: key string, t timestamp, any other columns. targets: key, begin timestamp, end timestamp (null: none), always
+    refs: key (string or binary), t timestamp, any other columns. targets: key, begin timestamp, end timestamp (null: none), always
     boolean (lives at any time). deletions: key, at. A target row lives at t if begin <= t, t < end and no deletion of
     its key lies in [begin, t]. kind: missing - the key has no target row; late - all its rows begin after t; else
     deleted. Null masks: a null key refers to nothing and is dropped (match simple); a null t means the end of all
