@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siltspark.config import EngineConfig
 from siltspark.operators import cache_model, dedup, jobs, metrics, restore, store
 from siltspark.operators.chunking import chunk_files
-from siltspark.session import materialize, scratch_path, table
+from siltspark.session import materialize, scratch_path, table, widen
 from siltspark.sources.files import SEGMENT_SCHEMA, segments, text_as_files
 
 ORDER = ["job", "file_id", "chunk_index"]
@@ -17,7 +17,7 @@ NO_JOB = "(none)"
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce("source", F.lit(NO_JOB)).alias("job"))
+    docs = widen(table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce("source", F.lit(NO_JOB)).alias("job")))
     return text_as_files(docs, "doc_id", "text", "job")
 
 

@@ -41,3 +41,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def default_parallelism(spark: SparkSession) -> int:
     """Partitions a shuffle of this session has; operators derive their bucket counts from it."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def widen(scan: DataFrame) -> DataFrame:
+    """A table scan with work for every core: inputs of fewer splits than cores (small or single files) are spread, all
+    others stay as they are read. For scans only; the splits of a plan with shuffles are not known beforehand."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
