@@ -14,12 +14,16 @@ from siltspark.llm.ledger import KeyLedger, answer_errors
 from siltspark.llm.mixing import mix_sources
 from siltspark.llm.quality import text_quality
 from siltspark.llm.splitting import oversized, split_files
-from siltspark.session import materialize, table
+from siltspark.session import materialize, table, widen
 
 #: The ranks file of byte_bpe_50k; executors need no copy.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return widen(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "chunks").select("fingerprint").unionAll(table(spark, sf_dir, "wellknown_chunks").select("fingerprint"))
 
@@ -46,7 +50,7 @@ def _duplicates(spark: SparkSession, sf_dir: str, batches: int = 2) -> DataFrame
     history, out = History(spark), None
     cuts = [low + (high - low + 1) * i // batches for i in range(batches + 1)] if low is not None else [0, 1]
     for lo, hi in zip(cuts[:-1], cuts[1:]):
-        part = history.admit(rows.filter((F.col("occurrence_id") >= lo) & (F.col("occurrence_id") < hi)), "occurrence_id", "fingerprint", "data")
+        part = history.admit(widen(rows.filter((F.col("occurrence_id") >= lo) & (F.col("occurrence_id") < hi))), "occurrence_id", "fingerprint", "data")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -76,21 +80,21 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_column(table(spark, sf_dir, "documents"), "doc_id", "text", read_tokenizer(spark, TOKENIZER))
+    return encode_column(_documents(spark, sf_dir), "doc_id", "text", read_tokenizer(spark, TOKENIZER))
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, uses, tokens of each document of the mix."""
-    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), read_tokenizer(spark, TOKENIZER))[0]
+    return mix_sources(_documents(spark, sf_dir), table(spark, sf_dir, "mix_targets"), read_tokenizer(spark, TOKENIZER))[0]
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shares reached, beside the targets."""
-    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), read_tokenizer(spark, TOKENIZER))[1]
+    return mix_sources(_documents(spark, sf_dir), table(spark, sf_dir, "mix_targets"), read_tokenizer(spark, TOKENIZER))[1]
 
 
 def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_quality(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "common_words"))
+    return text_quality(_documents(spark, sf_dir), "doc_id", "text", table(spark, sf_dir, "common_words"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,9 +112,23 @@ a AS (SELECT arrival_no, {KEY.format('fingerprint')} AS k FROM chunk_arrivals),
 s AS (SELECT arrival_no, k, k IS NOT NULL AND (arrival_no > min(arrival_no) OVER (PARTITION BY k) OR k IN (SELECT k FROM h WHERE k IS NOT NULL)) AS seen FROM a)
 """
 
+_P1 = f"""WITH f AS (SELECT occurrence_id AS id, coalesce({KEY.format('fingerprint')}, sha256(data)) AS fp, lower(TRY(decode(data))) AS t FROM chunks_of_file),
+w AS (SELECT id, regexp_extract_all(t, '[\\p{{L}}\\p{{N}}]+') AS w FROM f WHERE t IS NOT NULL),
+g AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= 3),
+n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.id < b.id GROUP BY ALL),
+e AS (SELECT x.id AS earlier, y.id AS later FROM f x JOIN f y ON x.fp = y.fp AND x.id < y.id),
+m AS (SELECT a AS earlier, b AS later FROM p JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE 10 * c >= 7 * (na.n + nb.n - c))
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": _P1 + "SELECT min(earlier) AS earlier_id, later AS later_id FROM (SELECT * FROM e UNION ALL SELECT * FROM m) GROUP BY later",
+        "p1_outcomes": _P1 + "SELECT id AS occurrence_id, CASE WHEN id IN (SELECT later FROM e) THEN 'exact' WHEN id IN (SELECT later FROM m) THEN 'near' ELSE 'new' END AS outcome FROM f",
+        "p3_found": """WITH s AS (SELECT job_id, file_path, "offset" AS a, "offset" + octet_length(data) AS b FROM file_segments WHERE octet_length(data) > 0 AND "offset" >= 0 AND job_id IS NOT NULL AND file_path IS NOT NULL),
+m AS (SELECT *, coalesce(max(b) OVER (PARTITION BY job_id, file_path ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS top FROM s)
+SELECT job_id, file_path FROM m GROUP BY job_id, file_path HAVING sum(greatest(b - greatest(a, top), 0)) > 8192""",
         "p5_found": _P5 + "SELECT arrival_no FROM s WHERE seen",
         "p5_error_rate": _P5 + "SELECT count(*) AS rows, count(*) FILTER (k IS NULL) AS without_key, count(*) FILTER (seen) AS seen, 0::BIGINT AS wrong, 0.0::DOUBLE AS error_rate FROM s",
     }
