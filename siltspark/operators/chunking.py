@@ -41,9 +41,23 @@ def _running(sizes: Column, base: Column) -> Column:
 def _starts(part: Column) -> Column:
     """Offset of every piece. Appending to an array copies it, so sums run in runs of 256 pieces and over the runs."""
     run = 256
+    # Most files are one chunk.
+    single = F.array(F.lit(0).cast("long"))
     runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(part) - 1) / run).cast("int")), lambda g: F.transform(F.slice(part, g * run + 1, F.lit(run)), lambda s: F.length(s).cast("long")))
     totals = F.transform(runs, lambda r: F.aggregate(r, F.lit(0).cast("long"), lambda a, n: a + n))
-    return F.flatten(F.zip_with(runs, _running(totals, F.lit(0).cast("long")), lambda r, b: _running(r, b)))
+    many = F.flatten(F.zip_with(runs, _running(totals, F.lit(0).cast("long")), lambda r, b: _running(r, b)))
+    return F.when(F.size(part) == 1, single).otherwise(many)
+
+
+def _split(text: Column, config: EngineConfig) -> Column:
+    """The pieces of a byte text. A text without any boundary pattern, which a plain search tells, is cut at every
+    max_size bytes; the expression that looks for patterns is left to the others."""
+    patterned = F.regexp_extract_all(text, F.lit(chunk_pattern(config.min_size, config.max_size)), F.lit(0))
+    some = F.lit(False)
+    for code in (0, 255, 10):
+        some = some | F.contains(text, F.lit(chr(code) * 4))
+    starts = F.sequence(F.lit(1), F.length(text), F.lit(config.max_size))
+    return F.when(some, patterned).otherwise(F.transform(starts, lambda at: F.substring(text, at, F.lit(config.max_size))))
 
 
 def chunk_files(df: DataFrame, content: str = "content", config: EngineConfig | None = None, with_data: bool = False) -> DataFrame:
@@ -53,11 +67,11 @@ def chunk_files(df: DataFrame, content: str = "content", config: EngineConfig |
     config = config or EngineConfig()
     added = ["chunk_index", "offset", "size", "fingerprint", *["data"] * with_data]
     keep = [F.col(f"`{c}`") for c in df.columns if c != content and c not in added]
-    pattern, whole = F.lit(chunk_pattern(config.min_size, config.max_size)), F.col("_silt_text")
-    part = F.regexp_extract_all(whole, pattern, F.lit(0))
+    whole = F.col("_silt_text")
+    part = _split(whole, config)
     if config.block_aligned:
         blocks = F.sequence(F.lit(0), F.length(whole) - 1, F.lit(config.max_size))
-        part = F.flatten(F.transform(blocks, lambda b: F.regexp_extract_all(F.substring(whole, b + 1, F.lit(config.max_size)), pattern, F.lit(0))))
+        part = F.flatten(F.transform(blocks, lambda b: _split(F.substring(whole, b + 1, F.lit(config.max_size)), config)))
     src = df.select(*keep, binary_text(F.col(f"`{content}`").cast("binary")).alias("_silt_text")).filter(F.length("_silt_text") > 0)
     src = src.select(*keep, part.alias("_silt_part"))
     rows = src.select(*keep, F.posexplode(F.arrays_zip(F.col("_silt_part").alias("s"), _starts(F.col("_silt_part")).alias("at"))).alias("chunk_index", "_silt"))
