@@ -172,10 +172,12 @@ class History:
         pairs = materialize(pairs, "pairs")
         sets = self.spark.table(self.sets).select("id", "runs")
         total = pairs.count()
-        shared = materialize(pairs.groupBy("b").count().filter(F.col("count") > max(WINDOW, HEAVY_SHARE * total)).select("b", F.ceil(F.col("count") / WINDOW).cast("int").alias("parts")), "shared")
+        if not total:
+            return pairs
+        shared = pairs.select("b").limit(0).withColumn("parts", F.lit(1)) if total <= WINDOW else materialize(pairs.groupBy("b").count().filter(F.col("count") > max(WINDOW, HEAVY_SHARE * total)).select("b", F.ceil(F.col("count") / WINDOW).cast("int").alias("parts")), "shared")
         rest = pairs
         spread = None
-        if not shared.isEmpty():
+        if total > WINDOW and not shared.isEmpty():
             # At most 1 / HEAVY_SHARE rows, as no more records can have that share of the pairs.
             rest = pairs.join(F.broadcast(shared), "b", "left_anti")
             copies = sets.join(shared.withColumnRenamed("b", "id"), "id").select(F.col("id").alias("b"), F.col("runs").alias("rb"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
