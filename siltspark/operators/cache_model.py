@@ -10,11 +10,6 @@ from siltspark.functions.columns import weak_hash
 from siltspark.session import default_parallelism, materialize
 
 
-def _recent(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    """The last capacity distinct keys of one range, latest first."""
-    return pdf.sort_values("pos").drop_duplicates("key", keep="last").tail(capacity)
-
-
 def lru_outcomes(accesses: DataFrame, key: str, order: list[str], capacity: int, ranges: int | None = None) -> DataFrame:
     """accesses with hit boolean: whether a cold LRU cache of the capacity holds the key when it is reached in order.
     Each access, hit or miss, makes its key the most recent. order must be unique; rows with a null key never hit and
@@ -30,8 +25,7 @@ def lru_outcomes(accesses: DataFrame, key: str, order: list[str], capacity: int,
     ranged = slim.filter(F.col("key").isNotNull()).repartitionByRange(ranges, "_pos").withColumn("range", F.spark_partition_id())
     # Range bounds come from a sample; written out, a retried task cannot move them.
     ranged = materialize(ranged.select("range", F.col("_pos").alias("at"), F.col("key").cast("string")), "lru-ranges")
-    by_range = ranged.withColumn("pos", F.to_json("at"))
-    last = by_range.groupBy("range", "key").agg(F.max("at").alias("at"))
+    last = ranged.groupBy("range", "key").agg(F.max("at").alias("at"))
     order_of = lambda df: df.select("range", "key", *[F.col(f"at.`{c}`").alias(f"o{i}") for i, c in enumerate(order)])
     o_cols = [f"o{i}" for i in range(len(order))]
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltspark.functions.columns import storage_location
+from siltspark.session import default_parallelism, materialize
 
 STORED, DUPLICATE, KNOWN = "STORED", "DEDUPLICATED", "DEDUPLICATED (from DB)"
 
@@ -47,8 +48,20 @@ def unique_chunks(chunks: DataFrame, order: list[str], prefix: str, fp: str = "f
     return firsts.select(F.col(fp).alias("fingerprint"), storage_location(fp, prefix).alias("storage_location"), "size")
 
 
-def running_totals(per_file: DataFrame, job: str, order: list[str], sums: list[str]) -> DataFrame:
-    """per_file with each of sums replaced by its running total within the job. Files of a job are ranked in one
-    window; a job's rows are one per file, not one per chunk."""
-    w = Window.partitionBy(job).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return per_file.select(*[F.sum(c).over(w).alias(c) if c in sums else F.col(c) for c in per_file.columns])
+def running_totals(per_file: DataFrame, job: str, order: list[str], sums: list[str], ranges: int | None = None) -> DataFrame:
+    """per_file with each of sums replaced by its running total within the job, in the given order (unique in a job).
+
+    Rows are put into ranges of (job, order); a window covers a job's rows of one range, and what earlier ranges add up
+    to is taken from their sums, so one large job is shared out like many small ones."""
+    spark = per_file.sparkSession
+    names = per_file.columns
+    ranged = per_file.repartitionByRange(ranges or default_parallelism(spark), job, *order).withColumn("_range", F.spark_partition_id())
+    # Range bounds come from a sample; written out, a retried task cannot move them.
+    ranged = materialize(ranged, "totals")
+    earlier = Window.partitionBy(job).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy(job, "_range").agg(*[F.sum(c).alias(c) for c in sums])
+    before = before.select(F.col(job).alias("_job"), F.col("_range").alias("_r"), *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_{c}") for c in sums])
+    within = Window.partitionBy(job, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = ranged.select(*[F.sum(c).over(within).alias(c) if c in sums else F.col(c) for c in names], "_range")
+    out = summed.join(before, summed[job].eqNullSafe(F.col("_job")) & (F.col("_range") == F.col("_r")))
+    return out.select(*[(F.col(c) + F.col(f"_{c}")).alias(c) if c in sums else F.col(c) for c in names])

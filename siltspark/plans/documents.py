@@ -129,9 +129,11 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def manifest_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """job, files, characters of the JSON that the jobs table would hold."""
-    made = jobs.files_metadata(jobs.manifest(chunks(spark, sf_dir), "job", "file_id"), "job", "file_id")
-    return made.select("job", F.size(F.from_json("files_metadata", "files array<struct<path:string>>")["files"]).cast("long").alias("files"), F.length("files_metadata").cast("long").alias("characters"))
+    """job, sha256 of the listing that the jobs table would hold. As a listing is one value, jobs are of at most a
+    thousand documents here: a source's documents of the same thousand of ids."""
+    small = chunks(spark, sf_dir).withColumn("job", F.concat_ws("/", "job", F.floor(F.col("file_id") / 1000).cast("string")))
+    made = jobs.files_metadata(jobs.manifest(small, "job", "file_id"), "job", "file_id")
+    return made.select("job", F.sha2(F.col("files_metadata"), 256).alias("sha256"))
 
 
 def _restored(spark: SparkSession, sf_dir: str) -> DataFrame:

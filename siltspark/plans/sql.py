@@ -63,6 +63,8 @@ def oracle_sql() -> dict[str, str]:
         "CASE WHEN msg IS NOT NULL THEN 'InvalidArgument' END AS error_code, msg AS error_message FROM m",
         "chunk_lookup": CHUNKS + " SELECT fp AS fingerprint, true AS found, size, count(*) AS requests FROM d GROUP BY ALL UNION ALL SELECT substr(fp, 1, 32), false, NULL, count(*) FROM d GROUP BY 1",
         "manifest": CHUNKS + ' SELECT job, k AS file_id, (sum(size) OVER (PARTITION BY k))::BIGINT AS file_size, idx::INTEGER AS position, fp AS fingerprint, off AS "offset", size FROM d',
+        "manifest_json": CHUNKS + ", m AS (SELECT job || '/' || (k // 1000) AS job, k AS path, sum(size)::BIGINT AS size, list(struct_pack(fingerprint := fp, \"offset\" := off, size := size) ORDER BY idx) AS chunks FROM d GROUP BY ALL) "
+        "SELECT job, sha256(to_json(struct_pack(files := list(struct_pack(path := path, size := size, chunks := chunks) ORDER BY path)))::VARCHAR) AS sha256 FROM m GROUP BY job",
         "restore_roundtrip": f"WITH {FILES} SELECT file_id, true AS ok, octet_length(encode(text)) AS size, sha256(encode(text)) AS sha256 FROM files",
         "restore_segments": f"WITH {FILES}, b AS (SELECT file_id, hex(encode(text)) h, octet_length(encode(text)) n FROM files), r AS (SELECT *, unnest(range(0, n, 4096)) AS o FROM b) "
         "SELECT 'restore-0' AS restore_job_id, file_id, o AS \"offset\", o + 4096 >= n AS is_last_segment, sha256(unhex(substr(h, 2 * o + 1, 8192))) AS sha256 FROM r",

@@ -84,3 +84,14 @@ def test_filter_equals_simulation(spark):
     probes = spark.createDataFrame([("key1",), ("zz",), ("",), (None,)], "key string")
     want = sorted(((k, k is not None and slots[weak(k) % buckets] == weak(k)) for k in ("key1", "zz", "", None)), key=repr)
     assert rows(cache_model.filter_contains(probes, "key", got, buckets)) == want
+
+
+def test_running_totals_of_a_large_job(spark):
+    rng = random.Random(2)
+    table = [(None if i % 50 == 0 else "big" if i % 3 else "j%d" % (i % 7), i, rng.randrange(100)) for i in range(500)]
+    got = {r["n"]: r["v"] for r in dedup.running_totals(spark.createDataFrame(table, "job string, n int, v long"), "job", ["n"], ["v"], 5).collect()}
+    sums = {}
+    for job, n, v in table:
+        sums[job] = sums.get(job, 0) + v
+        assert got[n] == sums[job]
+    assert dedup.running_totals(spark.createDataFrame([], "job string, n int, v long"), "job", ["n"], ["v"]).count() == 0
