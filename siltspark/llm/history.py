@@ -257,7 +257,8 @@ class History:
         self.fingerprints._append(self.fingerprints._new(light, F.col("fp"), F.col("id")))
         generation = self.wholes._append(self.wholes._new(light, F.col("whole"), F.col("id")))
         new = self.wholes.keys().filter(F.col("generation") == generation).select(F.col("first_at").alias("id"))
-        if self.order is None:
+        if self.order is None or not any(self.order.value):
+            # Ranks are all zero as long as no batch had a set.
             self._learn_order(rows.filter("n > 0"))
         if self.runs is None:
             self.runs = self._open_runs()

@@ -89,8 +89,10 @@ def test_hot_cluster_wide_windows(spark, monkeypatch):
     assert admit(spark, table, [0, 120, 200]) == brute(table)
 
 
-def test_empty_batch(spark):
+def test_empty_batches(spark):
     assert admit(spark, [], [0, 0]) == {}
+    table = corpus(60, 4)
+    assert admit(spark, table, [0, 0, 60]) == brute(table)
 
 
 def test_packing():
