@@ -33,7 +33,7 @@ class Engine:
     def classify(self, chunks: DataFrame) -> DataFrame:
         """chunks with outcome. In lru mode only the last lru_capacity fingerprints are remembered, without the store."""
         if self.config.mode == "exact":
-            return classify(chunks, ORDER, self.store.chunks.read())
+            return classify(chunks, ORDER, self.store.chunks.read(), complete=True)
         hits = lru_outcomes(chunks, "fingerprint", ORDER, self.config.lru_capacity)
         return hits.withColumn("outcome", F.when(F.col("hit"), DUPLICATE).otherwise(STORED)).drop("hit")
 

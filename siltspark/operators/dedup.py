@@ -23,10 +23,11 @@ def first_occurrences(chunks: DataFrame, order: list[str], carry: list[str] | No
     return chunks.filter(F.col(fp).isNotNull()).groupBy(fp).agg(least).select(fp, *[F.col(f"_first.`{c}`").alias(c) for c in named])
 
 
-def classify(chunks: DataFrame, order: list[str], store: DataFrame | None = None, fp: str = "fingerprint") -> DataFrame:
+def classify(chunks: DataFrame, order: list[str], store: DataFrame | None = None, fp: str = "fingerprint", complete: bool = False) -> DataFrame:
     """chunks with outcome: STORED for the first row of a new fingerprint in the given order, DEDUPLICATED (from DB)
     for the first row of one that the store has, DEDUPLICATED for all later rows. Scope is the whole input, whatever
-    its job. The order must be unique and not null. Rows without a fingerprint have a null outcome.
+    its job. The order must be unique and not null. Rows without a fingerprint have a null outcome. complete: all
+    rows have one; then no fingerprint is computed again for the rows that only get their mark.
 
     The decision is keyed on the order columns, not on the fingerprint: only first rows are marked, and joined back on
     their unique order, so no group of equal fingerprints is ever gathered in one task."""
@@ -38,7 +39,8 @@ def classify(chunks: DataFrame, order: list[str], store: DataFrame | None = None
         firsts = firsts.withColumn("_known", F.lit(None).cast("boolean"))
     marks = firsts.select(*order, F.when(F.col("_known"), KNOWN).otherwise(STORED).alias("_mark"))
     out = chunks.drop("outcome").join(marks, order, "left")
-    outcome = F.when(F.col(fp).isNotNull(), F.coalesce("_mark", F.lit(DUPLICATE)))
+    outcome = F.coalesce("_mark", F.lit(DUPLICATE))
+    outcome = outcome if complete else F.when(F.col(fp).isNotNull(), outcome)
     return out.select(*[f"`{c}`" for c in chunks.columns if c != "outcome"], outcome.alias("outcome"))
 
 

@@ -53,7 +53,7 @@ def chunk_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.classify(chunks(spark, sf_dir), ORDER)
+    return dedup.classify(chunks(spark, sf_dir), ORDER, complete=True)
 
 
 def dedup_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of documents with odd ids, against a store that has those with even ids."""
     every = chunks(spark, sf_dir)
     held = every.filter(F.col("file_id") % 2 == 0).select("fingerprint")
-    return dedup.classify(every.filter(F.col("file_id") % 2 == 1), ORDER, held).select("file_id", "chunk_index", "outcome")
+    return dedup.classify(every.filter(F.col("file_id") % 2 == 1), ORDER, held, complete=True).select("file_id", "chunk_index", "outcome")
 
 
 def job_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
