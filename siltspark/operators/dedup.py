@@ -19,8 +19,9 @@ def first_occurrences(chunks: DataFrame, order: list[str], carry: list[str] | No
     """One row per fingerprint: its smallest order and, of that row, carry. A combinable aggregate: a fingerprint that
     holds a third of all rows is reduced before the shuffle. Null fingerprints give none."""
     named = [*order, *[c for c in carry or [] if c not in order]]
-    least = F.min_by(F.struct(*[F.col(f"`{c}`") for c in named]), _order(order)).alias("_first")
-    return chunks.filter(F.col(fp).isNotNull()).groupBy(fp).agg(least).select(fp, *[F.col(f"_first.`{c}`").alias(c) for c in named])
+    # The least order itself, where nothing else is carried, is half the aggregation buffer.
+    least = F.min(_order(order)) if len(named) == len(order) else F.min_by(F.struct(*[F.col(f"`{c}`") for c in named]), _order(order))
+    return chunks.filter(F.col(fp).isNotNull()).groupBy(fp).agg(least.alias("_first")).select(fp, *[F.col(f"_first.`{c}`").alias(c) for c in named])
 
 
 def classify(chunks: DataFrame, order: list[str], store: DataFrame | None = None, fp: str = "fingerprint", complete: bool = False) -> DataFrame:
