@@ -65,10 +65,13 @@ def unique_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of documents with odd ids, against a store that has those with even ids."""
-    every = chunks(spark, sf_dir)
-    held = every.filter(F.col("file_id") % 2 == 0).select("fingerprint")
-    return dedup.classify(every.filter(F.col("file_id") % 2 == 1), ORDER, held, complete=True).select("file_id", "chunk_index", "outcome")
+    """Two batches, documents before 2025 and the others, the second against a store that has the first."""
+    early = F.col("authored_at") < F.to_timestamp(F.lit("2025-01-01 00:00:00"))
+    dated = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.when(early, 1).otherwise(2).alias("batch"))
+    every = chunks(spark, sf_dir).join(dated, "file_id")
+    first, second = every.filter("batch = 1"), every.filter("batch = 2")
+    out = dedup.classify(first, ORDER, complete=True).unionByName(dedup.classify(second, ORDER, first.select("fingerprint"), complete=True))
+    return out.select("file_id", "chunk_index", "batch", "outcome")
 
 
 def job_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,8 +42,9 @@ def oracle_sql() -> dict[str, str]:
         "chunk_listing": CHUNKS + " SELECT k AS file_id, idx::INTEGER AS chunk_index, size, substr(fp, 1, 16) AS fingerprint FROM d",
         "dedup_outcomes": OUTCOMES + " SELECT k AS file_id, idx::INTEGER AS chunk_index, outcome FROM o",
         "unique_chunks": CHUNKS + " SELECT fp AS fingerprint, 'minio://dedupe-chunks/' || fp AS storage_location, arg_min(size, pos) AS size FROM d GROUP BY fp",
-        "incremental_ingest": CHUNKS + ", held AS (SELECT DISTINCT fp FROM d WHERE k % 2 = 0), n AS (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY pos) AS rn FROM d WHERE k % 2 = 1) "
-        "SELECT k AS file_id, idx::INTEGER AS chunk_index, CASE WHEN rn > 1 THEN 'DEDUPLICATED' WHEN fp IN (SELECT fp FROM held) THEN 'DEDUPLICATED (from DB)' ELSE 'STORED' END AS outcome FROM n",
+        "incremental_ingest": CHUNKS + ", b AS (SELECT d.*, CASE WHEN authored_at < TIMESTAMPTZ '2025-01-01 00:00:00+00' THEN 1 ELSE 2 END AS batch FROM d JOIN documents ON doc_id = k), "
+        "n AS (SELECT *, row_number() OVER (PARTITION BY batch, fp ORDER BY pos) AS rn, min(batch) OVER (PARTITION BY fp) AS first FROM b) "
+        "SELECT k AS file_id, idx::INTEGER AS chunk_index, batch, CASE WHEN rn > 1 THEN 'DEDUPLICATED' WHEN first < batch THEN 'DEDUPLICATED (from DB)' ELSE 'STORED' END AS outcome FROM n",
         "job_summary": PER_FILE + " SELECT job, count(*) AS files_processed, sum(chunks)::BIGINT AS chunks_processed, sum(b)::BIGINT AS bytes_processed, sum(dup)::BIGINT AS bytes_deduplicated, "
         "'Backup completed. Processed ' || count(*) || ' files, ' || sum(chunks)::BIGINT || ' chunks' AS message FROM p GROUP BY job",
         "file_progress": PER_FILE + " SELECT job, file_id, file_id::VARCHAR AS current_file, (sum(b) OVER w)::BIGINT AS bytes_processed, (sum(dup) OVER w)::BIGINT AS bytes_deduplicated, 'Processed file: ' || file_id AS message "
