@@ -1,4 +1,4 @@
-"""Session helpers: shared scratch tables, table loading."""
+"""Session helpers: shared scratch tables, small files on any file system that Spark reads, table loading."""
 
 from __future__ import annotations
 
@@ -9,14 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. It is the session's spark.checkpoint.dir; only where that is unset (tests on
-    one machine) a temporary folder is made and registered."""
+    """The folder all executors share: the session's spark.checkpoint.dir. Only where that is unset and the session runs
+    on one machine (tests) a temporary folder is made and registered; on a cluster that is an error."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         current = sc._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="siltspark-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -34,6 +36,48 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove everything that this library wrote below the shared folder. For when no result that reads it is needed."""
+    remove_path(spark, f"{shared_dir(spark)}/siltspark")
+
+
+def _path(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def list_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Name and size of the files in a folder, by name; none if there is no such folder."""
+    at, fs = _path(spark, path)
+    if not fs.exists(at):
+        return []
+    return sorted((f.getPath().getName(), f.getLen()) for f in fs.listStatus(at) if f.isFile())
+
+
+def read_bytes(spark: SparkSession, path: str) -> bytes:
+    at, fs = _path(spark, path)
+    stream = fs.open(at)
+    try:
+        return bytes(stream.readAllBytes())
+    finally:
+        stream.close()
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write a small new file; fails if there is one."""
+    at, fs = _path(spark, path)
+    stream = fs.create(at, False)
+    try:
+        stream.write(bytearray(data))
+    finally:
+        stream.close()
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    at, fs = _path(spark, path)
+    fs.delete(at, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
