@@ -1,24 +1,30 @@
 """Deduplicating new batches against all history, exactly and nearly.
 
-Texts are sets of k-word runs; two match if they have at least `similarity` of their union in common. The state is kept
-in bucketed tables in one folder and a batch never shuffles what earlier batches left there:
-
-* two ledgers, of fingerprints and of whole sets, with the first record that had each;
-* sets: the packed set of every record, bucketed by record;
-* runs: the sorted neighbourhoods. Each distinct set has many sort keys, its rarest runs: by the prefix-filter theorem
-  two sets of n runs that share enough must share one of their first n - ceil(similarity n) + 1 runs under any common
-  order, and the places of the first one they share bound how much they can share at all. A batch's (key, record) entries form a sorted run in the persisted key ranges; the window around a new entry
-  is the stretch of its key, so no matching pair is missed. Windows are narrow as rare runs come first in the order;
-  the order is by a fixed-size sketch of run counts over the whole first batch, kept until compaction.
-
-A wide window is searched twice. First each entry meets only the head of the window, the smallest record; in a cluster
-of thousands of variants that already finds the earliest match. Then only entries of windows with a head earlier than
-the match found so far meet their windows, up to that match. So groups of copies or variants give no all-pairs work,
-and wide windows are split by record hash. Sets are compared only for pairs that share as many keys as they must."""
+Texts are sets of k-word runs; two match if they have at least `similarity` of their union in common. The method is
+multi-key sorted neighbourhood: every record has many sort keys, and sorted runs of (key, record) lie in persisted key
+ranges (sorted_runs). Per batch:
+
+1. The batch's sets are written, sorted by record.
+2. Its distinct fingerprints and whole sets, two kinds of exact keys, are looked up in the exact runs.
+3. Each set that is new gives its rarest word runs as keys: by the prefix-filter theorem two sets of n runs that share
+   enough must share one of their first n - ceil(similarity n) + 1 runs under any common order, so the window of a
+   record, all entries with one of its keys, misses no match. The entries become a sorted run of the index.
+4. Only windows around new entries are compared. A wide window first shows its head alone, the smallest record: in a
+   cluster of thousands of variants that already is the earliest match. A record that its heads don't settle then meets
+   its wide windows up to its best match so far. The places of common keys and their number bound what two sets can
+   share; sets are fetched, by place, for the pairs that are left, earliest first and up to the first match.
+
+Nothing scans or shuffles what earlier batches left. Lookups decode only the row groups that hold a key of the batch
+(`entries_read` counts their rows): they follow the batch once the runs have more row groups than the batch has keys,
+and are at most one pass over the narrow runs (about 30 bytes an entry) below that. Runs are merged by size, so an
+entry is rewritten a logarithmic number of times; whenever the index has doubled, its order of rarity is learned anew
+and its entries are made again."""
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,23 +34,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltspark.functions.columns import fingerprint_bytes, sha2_hex
-from siltspark.llm.ledger import KeyLedger
 from siltspark.llm.shingles import WIDTH, pack, run_set, unpack
-from siltspark.operators.store import VersionedTable
-from siltspark.session import default_parallelism, materialize, scratch_path
+from siltspark.llm.sorted_runs import PART_BITS, KeyReader, SetReader, key_range, part_of, run_files, write_run
+from siltspark.session import default_parallelism, list_files, read_bytes, remove_path, scratch_path, write_bytes
 
-#: Cells of the sketch: the upper 16 bits of a run's hash.
+#: Cells of the sketch of run counts: the upper 16 bits of a run's hash.
 CELL_SHIFT = 8 * WIDTH - 16
 CELLS = 1 << 16
-#: Entries of a window that one group of the search holds.
-WINDOW = 4096
-#: In windows with more entries than that, each entry meets the head before all others.
+#: Earlier entries in a window beyond which a record meets the head before the others.
 STAR = 64
-#: A key with more than this share of a batch's rows is looked up from a broadcast of at most 1 / share rows.
-HEAVY_SHARE = 0.001
-#: Files that a batch may add to the sets without bringing them into buckets first.
-MOST_FILES = 20_000
-_SET_SCHEMA = "id long, fp binary, n int, whole binary, runs binary"
+#: Rows of a row group of sets, of entries; rows of a file of entries.
+SET_ROWS, GROUP_ROWS, FILE_ROWS = 64, 4096, 1 << 22
+#: Entries of wide windows that a worker keeps.
+WINDOW_CACHE = 4 << 20
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_NONE = np.int64((1 << 63) - 1)
+_EXACT = "key long, kind int, check binary, id long, part int, first long, near long"
+_ENTRY = "key long, id long, n int, place int, loc long"
+_PROBE = "id long, part int, n int, x long, m int, xloc long, close boolean, wide boolean, key long, place int"
 
 
 def _sets(k: int):
@@ -69,207 +76,380 @@ def _sets(k: int):
     return run
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Run counts by cell over a partition, as 64 rows."""
-    counts = np.zeros(CELLS, np.int64)
-    for batch in batches:
-        for value in batch.column(0):
-            if value.is_valid:
-                counts += np.bincount((unpack(value.as_buffer().to_pybytes()) >> np.uint64(CELL_SHIFT)).astype(np.int64), minlength=CELLS)
-    yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([c.tobytes() for c in np.split(counts, 64)], pa.binary())], names=["part", "counts"])
+def _sketch(sets: dict[int, str]):
+    """Run counts by cell over a partition of records (id, loc), as 64 rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, reader = np.zeros(CELLS, np.int64), SetReader(sets, unpack)
+        for batch in batches:
+            for ident, loc in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                counts += np.bincount((reader.get(ident, loc) >> np.uint64(CELL_SHIFT)).astype(np.int64), minlength=CELLS)
+        yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([c.tobytes() for c in np.split(counts, 64)], pa.binary())], names=["cell", "counts"])
+
+    return run
 
 
 def _add(pdf):
     import pandas as pd
 
     total = sum(np.frombuffer(c, np.int64) for c in pdf["counts"])
-    return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "counts": [total.tobytes()]})
+    return pd.DataFrame({"cell": [int(pdf["cell"].iloc[0])], "counts": [total.tobytes()]})
+
 
+def _known(runs: list[dict], ranges: int, counter):
+    """Batch keys (key, kind, check, id, part) with the first record of each in the exact runs, and what that matches."""
 
-def _entries(order, keep_tenths: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = np.frombuffer(order.value, np.uint16).astype(np.uint64) << np.uint64(48)
+        reader = KeyReader(runs, ranges, ["key", "check", "id", "near"])
         for batch in batches:
-            keys, places, ids = [], [], batch.column(0).to_numpy(zero_copy_only=False)
-            ns = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            # keep_tenths / 10 is the similarity; whole numbers keep the bound exact.
-            lengths = ns - (keep_tenths * ns + 9) // 10 + 1
-            for value, p in zip(batch.column(2), lengths):
-                runs = unpack(value.as_buffer().to_pybytes())
+            found: dict[tuple, tuple] = {}
+            for t in reader.find(np.unique(batch.column(0).to_numpy())) if runs else ():
+                for key, check, ident, near in zip(*(t[c].to_pylist() for c in reader.columns)):
+                    held = found.get((key, check))
+                    if held is None or ident < held[0]:
+                        found[key, check] = ident, near
+            hits = [found.get(x, (None, None)) for x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())] if found else [(None, None)] * batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([h[0] for h in hits], pa.int64()), pa.array([h[1] for h in hits], pa.int64())], names=[*batch.schema.names, "first", "near"])
+        counter.add(reader.rows)
+
+    return run
+
+
+def _entries(sets: dict[int, str], order, tenths: int):
+    """The keys of records (id, loc): their rarest runs, by place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank, reader = np.frombuffer(order.value, np.uint16).astype(np.uint64) << np.uint64(48), SetReader(sets, unpack)
+        for batch in batches:
+            keys, ns, lengths = [], [], []
+            for ident, loc in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                runs = reader.get(ident, loc)
+                # tenths / 10 is the similarity; whole numbers keep the bound exact.
+                p = len(runs) - (tenths * len(runs) + 9) // 10 + 1
                 ranked = np.sort(rank[(runs >> np.uint64(CELL_SHIFT)).astype(np.int64)] | runs)[:p]
-                keys.append(ranked.astype(np.uint32))
-                places.append(np.arange(p, dtype=np.int32))
-            none = np.zeros(0, np.int32)
-            columns = np.concatenate(keys).view(np.int32) if keys else none, np.repeat(ids, lengths), np.repeat(ns, lengths).astype(np.int32), np.concatenate(places) if places else none
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "id", "n", "place"])
+                keys.append((ranked & np.uint64((1 << 48) - 1)) * _SPREAD)
+                ns.append(len(runs)), lengths.append(p)
+            if keys:
+                places = np.concatenate([np.arange(p, dtype=np.int32) for p in lengths])
+                columns = np.concatenate(keys).view(np.int64), np.repeat(batch.column(0).to_numpy(), lengths), np.repeat(np.array(ns, np.int32), lengths), places, np.repeat(batch.column(1).to_numpy(), lengths)
+                for lo in range(0, len(places), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + (1 << 16)]) for c in columns], names=["key", "id", "n", "place", "loc"])
 
     return run
 
 
-def _matches(keep_tenths: int):
+def _close(n, i, m, j, tenths: int):
+    """Whether two sets of n and m runs whose first common run is at places i and j can share enough."""
+    return np.minimum(n - i, m - j) * (10 + tenths) >= (n + m) * tenths
+
+
+def _fits(n, m, tenths: int):
+    return np.minimum(n, m) * 10 >= np.maximum(n, m) * tenths
+
+
+def _windows(runs: list[dict], ranges: int, generation: int, tenths: int, star: int, counter):
+    """What the new entries (sorted by key) meet in their windows: all earlier entries, or the head of a wide window."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = KeyReader(runs, ranges, ["key", "id", "n", "place", "loc"])
+        names = [c.split()[0] for c in _PROBE.split(", ")]
         for batch in batches:
-            hit = []
-            for a, b in zip(batch.column(2), batch.column(3)):
-                x, y = unpack(a.as_buffer().to_pybytes()), unpack(b.as_buffer().to_pybytes())
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                hit.append(10 * common >= keep_tenths * (len(x) + len(y) - common))
-            keep = pa.array(hit, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+            key, ident, n, place, loc = (batch.column(i).to_numpy() for i in range(5))
+            keys = np.unique(key)
+            wkey, wid, wn, wplace, wloc = reader.arrays(keys)
+            slot = np.searchsorted(keys, wkey)
+            by = np.lexsort((wid, slot))
+            slot, wid, wn, wplace, wloc = slot[by], wid[by], wn[by].astype(np.int64), wplace[by].astype(np.int64), wloc[by]
+            every, number = np.unique(np.concatenate([wid, ident]), return_inverse=True)
+            own = np.searchsorted(keys, key)
+            start = np.searchsorted(slot, own)
+            width = np.searchsorted(slot * len(every) + number[: len(wid)], own * len(every) + number[len(wid) :]) - start
+            wide = width > star
+            shown = np.where(wide, 1, width)
+            for lo in range(0, len(key), 2048):
+                part = slice(lo, lo + 2048)
+                probe = np.repeat(np.arange(len(key))[part], shown[part])
+                if not len(probe):
+                    continue
+                at = start[probe] + np.arange(len(probe)) - np.repeat(np.cumsum(shown[part]) - shown[part], shown[part])
+                a, m = n[probe].astype(np.int64), wn[at]
+                keep = wide[probe] | _fits(a, m, tenths)
+                probe, at, a, m = probe[keep], at[keep], a[keep], m[keep]
+                near = _close(a, place[probe].astype(np.int64), m, wplace[at], tenths) & _fits(a, m, tenths)
+                columns = ident[probe], (loc[probe] & ((1 << PART_BITS) - 1)).astype(np.int32), a.astype(np.int32), wid[at], m.astype(np.int32), wloc[at], near, wide[probe], key[probe], place[probe]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+        counter.add(reader.rows)
+
+    return run
+
+
+class _Judge:
+    """Finds the earliest match of records from what their windows showed, in a worker."""
+
+    def __init__(self, sets: dict[int, str], runs: list[dict], ranges: int, generation: int, tenths: int):
+        self.sets, self.index, self.tenths, self.generation = SetReader(sets, unpack), KeyReader(runs, ranges, ["key", "id", "n", "place", "loc"]), tenths, generation
+        self.kept: OrderedDict[int, list[np.ndarray]] = OrderedDict()
+        self.size = 0
+
+    def _match(self, a: np.ndarray, ident: int, loc: int) -> bool:
+        b = self.sets.get(ident, loc)
+        common = len(np.intersect1d(a, b, assume_unique=True))
+        return 10 * common >= self.tenths * (len(a) + len(b) - common)
+
+    def _window(self, key: int) -> list[np.ndarray]:
+        if key in self.kept:
+            self.kept.move_to_end(key)
+        else:
+            self.kept[key] = self.index.arrays(np.array([key], np.int64))[1:]
+            self.size += len(self.kept[key][0])
+            while self.size > WINDOW_CACHE and len(self.kept) > 1:
+                self.size -= len(self.kept.popitem(last=False)[1][0])
+        return self.kept[key]
+
+    def _least(self, n, m):
+        """Keys that two matching sets share at least: of the runs they share, only those beyond the keys of the one
+        whose keys end first can be missing."""
+        t = self.tenths
+        return -(-(n + m) * t // (10 + t)) - np.maximum((n * t + 9) // 10 - 1, (m * t + 9) // 10 - 1)
+
+    def _tally(self, rec, x, n, m, xloc, close) -> list[np.ndarray]:
+        """One row a pair: rec, x, n, m, xloc, whether any common key is close, common keys."""
+        by = np.lexsort((x, rec))
+        rec, x, n, m, xloc, close = (c[by] for c in (rec, x, n, m, xloc, close))
+        lead = np.flatnonzero(np.r_[True, (np.diff(rec) != 0) | (np.diff(x) != 0)]) if len(rec) else np.zeros(0, np.int64)
+        any_close = np.logical_or.reduceat(close, lead) if len(lead) else close
+        return [c[lead] for c in (rec, x, n, m, xloc)] + [any_close, np.diff(np.r_[lead, len(rec)])]
+
+    def decide(self, t: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """id, near of the records that have an earlier match. t: all rows of some records, as numpy columns."""
+        ids, lead, rec = np.unique(t["id"], return_index=True, return_inverse=True)
+        own = [self.sets.get(int(i), (self.generation << PART_BITS) | int(p)) for i, p in zip(ids, t["part"][lead])]
+        best = np.full(len(ids), _NONE)
+        wide, n, m = t["wide"], t["n"].astype(np.int64), t["m"].astype(np.int64)
+        narrow = ~wide
+        near = [c[narrow] for c in (rec, t["x"], n, m, t["xloc"], t["close"])]
+        r, x, a, b, loc, close, count = self._tally(*near)
+        # A pair's common keys in wide windows are not among those met here.
+        keep = close & (count + np.bincount(rec[wide], minlength=len(ids))[r] >= self._least(a, b))
+        heads = wide & t["close"]
+        r, x, loc = np.concatenate([r[keep], rec[heads]]), np.concatenate([x[keep], t["x"][heads]]), np.concatenate([loc[keep], t["xloc"][heads]])
+        tried: dict[int, set[int]] = {}
+        for i in np.lexsort((x, r)):
+            who, ident = int(r[i]), int(x[i])
+            if best[who] == _NONE and ident not in tried.setdefault(who, set()):
+                tried[who].add(ident)
+                if self._match(own[who], ident, int(loc[i])):
+                    best[who] = ident
+        bound = np.minimum(best, ids)
+        left = np.flatnonzero(wide & (t["x"] < bound[rec]))
+        for who in np.unique(rec[left]).tolist():
+            asked = left[rec[left] == who]
+            met = [[c[near[0] == who] for c in near[1:]]]
+            for i in asked.tolist():
+                wid, wn, wplace, wloc = self._window(int(t["key"][i]))
+                wn, wplace = wn.astype(np.int64), wplace.astype(np.int64)
+                on = (wid < bound[who]) & _fits(n[i], wn, self.tenths)
+                met.append([wid[on], np.full(on.sum(), n[i]), wn[on], wloc[on], _close(n[i], int(t["place"][i]), wn[on], wplace[on], self.tenths)])
+            x, a, b, loc, close = (np.concatenate(c) for c in zip(*met))
+            _, x, a, b, loc, close, count = self._tally(np.zeros(len(x), np.int64), x, a, b, loc, close)
+            keep = close & (count >= self._least(a, b)) & (x < bound[who])
+            for ident, at in zip(x[keep].tolist(), loc[keep].tolist()):
+                if ident not in tried.get(who, ()) and self._match(own[who], ident, at):
+                    best[who] = ident
+                    break
+        hit = best < ids
+        return ids[hit], best[hit]
+
+
+def _nears(sets: dict[int, str], runs: list[dict], ranges: int, generation: int, tenths: int, counter):
+    """id, near from probes that come sorted by record."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = _Judge(sets, runs, ranges, generation, tenths)
+        held: dict[str, np.ndarray] | None = None
+
+        def out(t: dict[str, np.ndarray]) -> pa.RecordBatch:
+            ids, near = judge.decide(t)
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(near, pa.int64())], names=["id", "near"])
+
+        for batch in batches:
+            t = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(batch.schema.names)}
+            if held is not None:
+                t = {c: np.concatenate([held[c], v]) for c, v in t.items()}
+            # The last record may go on in the next batch.
+            cut = int(np.searchsorted(t["id"], t["id"][-1])) if len(t["id"]) else 0
+            if cut:
+                yield out({c: v[:cut] for c, v in t.items()})
+            held = {c: v[cut:] for c, v in t.items()}
+        if held is not None and len(held["id"]):
+            yield out(held)
+        counter.add(judge.index.rows)
 
     return run
 
 
 class History:
-    """State of all batches admitted so far; the same path, parameters and buckets open it again. Batches come in order of
-    their ids: a batch's ids are greater than those admitted before. A batch is admitted once, by one writer; if its
-    driver dies on the way, the folder must be put back to what it was."""
-
-    def __init__(self, spark: SparkSession, path: str | None = None, k: int = 3, similarity_tenths: int = 7, buckets: int | None = None, compact_every: int = 8):
-        """similarity_tenths: the similarity times ten. buckets: of every table, fixed when they are made.
-        compact_every: batches after which the runs are merged."""
-        self.spark, self.k, self.tenths = spark, k, similarity_tenths
-        self.buckets, self.compact_every = buckets or default_parallelism(spark), compact_every
+    """State of all batches admitted so far; the same path and parameters open it again. Batches come in order of their
+    ids: a batch's ids are greater than those admitted before. A batch is admitted by one writer; it takes effect with
+    the last small file it writes, and one whose driver dies before is as if it never came."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, k: int = 3, similarity_tenths: int = 7, ranges: int | None = None, compact_every: int = 4, star: int = STAR, group_rows: int = GROUP_ROWS):
+        """similarity_tenths: the similarity times ten. ranges: of the key space, a power of two, fixed when the history
+        is made. compact_every: runs of similar size that are merged into one. star, group_rows: see STAR, GROUP_ROWS."""
+        self.spark, self.k, self.tenths, self.star, self.group_rows = spark, k, similarity_tenths, star, group_rows
+        self.compact_every = compact_every
         self.path = path or scratch_path(spark, "history")
-        self.fingerprints = KeyLedger(spark, f"{self.path}/fingerprints", self.buckets)
-        self.wholes = KeyLedger(spark, f"{self.path}/wholes", self.buckets)
-        self.sets = self._open("sets", "id BIGINT, fp BINARY, n INT, whole BINARY, runs BINARY, generation INT", "id")
-        self.nears = self._open("nears", "id BIGINT, near BIGINT", "id")
-        self.state = VersionedTable(spark, f"{self.path}/state", "generation int, stage int, ranks binary")
-        self.runs = self.order = None
-        self.generation = self.stage = 0
-        saved = self.state.read().first()
-        if saved:
-            self.generation, self.stage = saved["generation"], saved["stage"] - 1
-            self.runs = self._open_runs()
-            self.order = spark.sparkContext.broadcast(bytes(saved["ranks"]))
-
-    def _open(self, name: str, columns: str, key: str) -> str:
-        table = f"siltspark_{name}_{uuid.uuid4().hex}"
-        self.spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY ({key}) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'")
-        return table
-
-    def _open_runs(self) -> str:
-        self.stage += 1
-        return self._open(f"runs_{self.stage}", "key INT, id BIGINT, n INT, place INT, generation INT", "key")
-
-    def _learn_order(self, sets: DataFrame) -> None:
-        parts = sets.select("runs").mapInArrow(_sketch, "part int, counts binary").groupBy("part").applyInPandas(_add, "part int, counts binary")
-        rows = {r["part"]: r["counts"] for r in parts.collect()}  # 64 rows of 8 KB
+        self.order = None
+        #: Index rows decoded by lookups of this session.
+        self.entries_read = spark.sparkContext.accumulator(0)
+        logs = [int(n[:-5]) for n, _ in list_files(spark, f"{self.path}/log") if n.endswith(".json")]
+        if logs:
+            self.state = json.loads(read_bytes(spark, f"{self.path}/log/{max(logs):012d}.json"))
+            if self.state["order"]:
+                self.order = spark.sparkContext.broadcast(read_bytes(spark, f"{self.path}/{self.state['order']}"))
+        else:
+            self.state = {"version": 0, "generation": 0, "ranges": ranges or 1 << (default_parallelism(spark).bit_length() - 1), "sets": {}, "exact": [], "index": [], "order": None, "learned_at": 0}
+
+    # -- small things
+
+    def _commit(self) -> None:
+        self.state["version"] += 1
+        write_bytes(self.spark, f"{self.path}/log/{self.state['version']:012d}.json", json.dumps(self.state).encode())
+
+    def _sets_of(self) -> dict[int, str]:
+        return {int(g): f"{self.path}/{name}" for g, name in self.state["sets"].items()}
+
+    def _runs(self, kind: str) -> list[dict]:
+        return [r | {"path": f"{self.path}/{r['path']}"} for r in self.state[kind]]
+
+    def _new_run(self, kind: str, df: DataFrame) -> dict:
+        name = f"{kind}/{uuid.uuid4().hex}"
+        write_run(df, f"{self.path}/{name}", self.state["ranges"], self.group_rows, FILE_ROWS)
+        return run_files(self.spark, f"{self.path}/{name}") | {"path": name}
+
+    def _scan(self, run: dict, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{run['path']}")
+
+    def _learn(self, records: DataFrame) -> None:
+        """Learn the order of rarity from the sets of records (id, loc)."""
+        parts = records.select("id", "loc").mapInArrow(_sketch(self._sets_of()), "cell int, counts binary").groupBy("cell").applyInPandas(_add, "cell int, counts binary")
+        rows = {r["cell"]: r["counts"] for r in parts.collect()}  # 64 rows of 8 KB
         counts = np.concatenate([np.frombuffer(bytes(rows.get(i, bytes(8 * CELLS // 64))), np.int64) for i in range(64)])
         # Counts are ranked on a log scale, so that the order fits in 16 bits at any corpus size.
-        self.order = self.spark.sparkContext.broadcast(np.minimum(np.log2(counts + 1.0) * 1000, 65535).astype(np.uint16).tobytes())
-
-    def compact(self) -> None:
-        """Merge the sorted runs into one file a bucket."""
-        old, new = self.runs, self._open_runs()
-        self.spark.table(old).repartition(self.buckets, "key").sortWithinPartitions("key", "id").write.mode("append").insertInto(new)
-        self.runs = new
-
-    def _verify(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of records that match. Sets stay in their buckets; one set rides along with a pair. Pairs
-        whose b is shared by very many (the head of a large cluster) are spread over copies of its set."""
-        pairs = materialize(pairs, "pairs")
-        sets = self.spark.table(self.sets).select("id", "runs")
-        total = pairs.count()
-        if not total:
-            return pairs
-        shared = pairs.select("b").limit(0).withColumn("parts", F.lit(1)) if total <= WINDOW else materialize(pairs.groupBy("b").count().filter(F.col("count") > max(WINDOW, HEAVY_SHARE * total)).select("b", F.ceil(F.col("count") / WINDOW).cast("int").alias("parts")), "shared")
-        rest = pairs
-        spread = None
-        if total > WINDOW and not shared.isEmpty():
-            # At most 1 / HEAVY_SHARE rows, as no more records can have that share of the pairs.
-            rest = pairs.join(F.broadcast(shared), "b", "left_anti")
-            copies = sets.join(shared.withColumnRenamed("b", "id"), "id").select(F.col("id").alias("b"), F.col("runs").alias("rb"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-            spread = pairs.join(F.broadcast(shared), "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).drop("parts")
-            spread = spread.join(copies.repartition("b", "part"), ["b", "part"]).select("a", "b", "rb")
-        both = rest.hint("shuffle_hash").join(sets.select(F.col("id").alias("b"), F.col("runs").alias("rb")), "b").select("a", "b", "rb")
-        both = both if spread is None else both.unionByName(spread)
-        both = both.hint("merge").join(sets.select(F.col("id").alias("a"), F.col("runs").alias("ra")), "a")
-        return both.select("a", "b", "ra", "rb").mapInArrow(_matches(self.tenths), "a long, b long")
-
-    def _near(self) -> DataFrame:
-        """id, near: the smallest record that a new distinct set matches, where that is smaller."""
-        entries = self.spark.table(self.runs)
-        new = entries.filter(F.col("generation") == self.generation)
-        blocks = entries.groupBy("key").agg(F.min(F.struct("id", "n", "place")).alias("head"), F.count("*").alias("width"), F.max("generation").alias("last")).filter((F.col("width") > 1) & (F.col("last") == self.generation))
-        blocks = blocks.select("key", "head", "width")
-
-        def close(n, i, m, j):
-            """Whether two sets of n and m runs whose first common run is at places i and j can share enough."""
-            return F.least(n - i, m - j) * (10 + self.tenths) >= (n + m) * self.tenths
-
-        probes = materialize(new.join(blocks.hint("merge"), "key").filter(F.col("id") > F.col("head.id")).select("key", "id", "n", "place", "head", "width"), "probes")
-        wide = (F.col("width") > STAR) & close(F.col("n"), F.col("place"), F.col("head.n"), F.col("head.place"))
-        heads = probes.filter(wide).select(F.col("id").alias("a"), F.col("head.id").alias("b")).distinct()
-        first = materialize(self._verify(heads).groupBy("a").agg(F.min("b").alias("near")), "heads")
-        below = probes.select("key", "id", "n", "place", F.col("head.id").alias("head"), "width").join(first.withColumnRenamed("a", "id"), "id", "left").withColumn("below", F.coalesce("near", "id"))
-        # Wide windows are cut by record hash; a probe visits every part.
-        parts = F.ceil(F.col("width") / WINDOW).cast("int")
-        asked = below.filter(F.col("head") < F.col("below")).select("key", "id", "n", "place", "below", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-        window = entries.join(blocks.select("key", "width").hint("merge"), "key").select("key", F.col("id").alias("x"), F.col("n").alias("m"), F.col("place").alias("at"), F.pmod(F.xxhash64("id"), F.ceil(F.col("width") / WINDOW)).cast("int").alias("part"))
-        n, m, t = F.col("n"), F.col("m"), self.tenths
-        met = asked.join(window, ["key", "part"]).filter((F.col("x") < F.col("below")) & (F.least(n, m) * 10 >= F.greatest(n, m) * t))
-        # All keys that a pair shares are met here, as each of their windows has a head below. Of the runs two matching
-        # sets share, only those beyond the keys of the one whose keys end first can be missing among the keys.
-        kept = lambda c: F.floor((c * t + 9) / 10) - 1
-        least = F.ceil((n + m) * t / (10 + t)) - F.greatest(kept(n), kept(m))
-        shared = met.groupBy(F.col("id").alias("a"), F.col("x").alias("b"), "n", "m").agg(F.count("*").alias("keys"), F.max(close(n, F.col("place"), m, F.col("at"))).alias("close"))
-        pairs = shared.filter(F.col("close") & (F.col("keys") >= least)).select("a", "b")
-        rest = self._verify(pairs).groupBy("a").agg(F.min("b").alias("near"))
-        return first.unionByName(rest).groupBy("a").agg(F.min("near").alias("near")).select(F.col("a").alias("id"), "near").repartition(self.buckets, "id")
-
-    def _lookup(self, rows: DataFrame, key: str, ledger: KeyLedger, name: str, extra: DataFrame | None = None) -> DataFrame:
-        """rows with the first record of their key, and the columns of extra (by record) for that. Keys that hold much
-        of the batch are looked up by a broadcast that is at most 1 / HEAVY_SHARE rows, as no more keys can hold that
-        share. Rows without a key are no part of a join."""
-        with_key = rows.filter(F.col(key).isNotNull())
-        found = with_key.groupBy(key).agg(F.count("*").alias("count")).join(ledger.keys().select(F.col("key").alias(key), F.col("first_at").alias(name)).hint("merge"), key)
-        if extra is not None:
-            found = found.join(extra.withColumnRenamed("id", name), name, "left")
-        found = materialize(found, "found")
-        total, most = found.agg(F.sum("count"), F.max("count")).first()
-        limit = max(WINDOW, HEAVY_SHARE * (total or 0))
-        values = found.drop("count")
-        if (most or 0) <= limit:
-            out = with_key.join(values, key)
-        else:
-            heavy = F.broadcast(found.filter(F.col("count") > limit).drop("count"))
-            out = with_key.join(heavy, key).unionByName(with_key.join(heavy.select(key), key, "left_anti").join(values, key))
-        return out.unionByName(rows.filter(F.col(key).isNull()), allowMissingColumns=True)
+        ranks = np.minimum(np.log2(counts + 1.0) * 1000, 65535).astype(np.uint16).tobytes()
+        self.state["order"] = f"order/{uuid.uuid4().hex}"
+        write_bytes(self.spark, f"{self.path}/{self.state['order']}", ranks)
+        self.order = self.spark.sparkContext.broadcast(ranks)
+
+    # -- admission
 
     def admit(self, batch: DataFrame, id: str, fingerprint: str, data: str) -> DataFrame:
         """Add the batch and answer for each of its rows: id, exact, near; the smallest earlier record with the same
         fingerprint, and the smallest earlier one with a matching set (an equal set matches too), each null if none.
+        The answers are kept in a table of their own and stay readable.
 
         The fingerprint is taken from data where it is missing or unreadable. Null, binary or short data (fewer than k
         words) has no set and matches by fingerprint only. ids are unique and not null. Empty batches are fine."""
-        self.generation += 1
+        g = self.state["generation"] = self.state["generation"] + 1
+        folder = f"sets/{g:08d}-{uuid.uuid4().hex}"
         d = F.col(f"`{data}`").cast("binary")
         source = batch.select(F.col(f"`{id}`").cast("long").alias("id"), F.coalesce(fingerprint_bytes(F.col(f"`{fingerprint}`")), F.unhex(sha2_hex(d))).alias("fp"), d.alias("data"))
-        rows = source.mapInArrow(_sets(self.k), _SET_SCHEMA).withColumn("generation", F.lit(self.generation))
-        # Each task writes its rows to their buckets, without a shuffle of the sets, unless that makes too many files.
-        if rows.rdd.getNumPartitions() * self.buckets > MOST_FILES:
-            rows = rows.repartition(self.buckets, "id")
-        rows.write.mode("append").insertInto(self.sets)
-        rows = self.spark.table(self.sets).filter(F.col("generation") == self.generation)
-        light = rows.select("id", "fp", "whole")
-        self.fingerprints._append(self.fingerprints._new(light, F.col("fp"), F.col("id")))
-        generation = self.wholes._append(self.wholes._new(light, F.col("whole"), F.col("id")))
-        new = self.wholes.keys().filter(F.col("generation") == generation).select(F.col("first_at").alias("id"))
-        if self.order is None or not any(self.order.value):
-            # Ranks are all zero as long as no batch had a set.
-            self._learn_order(rows.filter("n > 0"))
-        if self.runs is None:
-            self.runs = self._open_runs()
-        fresh = rows.filter("n > 0").select("id", "n", "runs").join(new.hint("shuffle_hash"), "id", "left_semi")
-        entries = fresh.select("id", "n", "runs").mapInArrow(_entries(self.order, self.tenths), "key int, id long, n int, place int")
-        entries.select("key", "id", "n", "place", F.lit(self.generation).alias("generation")).repartition(self.buckets, "key").sortWithinPartitions("key", "id").write.mode("append").insertInto(self.runs)
-        self._near().write.mode("append").insertInto(self.nears)
-        if self.generation % self.compact_every == 0:
-            self.compact()
-        self.state.replace(self.spark.createDataFrame([(self.generation, self.stage, bytearray(self.order.value))], self.state.schema))
-        out = self._lookup(light, "whole", self.wholes, "same", self.spark.table(self.nears))
-        out = self._lookup(out, "fp", self.fingerprints, "first")
+        sets = source.mapInArrow(_sets(self.k), "id long, fp binary, n int, whole binary, runs binary").sortWithinPartitions("id")
+        sets.write.option("parquet.block.row.count.limit", SET_ROWS).parquet(f"{self.path}/{folder}")
+        files = [n for n, _ in list_files(self.spark, f"{self.path}/{folder}") if n.startswith("part-")]
+        # One task wrote each file, so names differ in their number only.
+        self.state["sets"][str(g)] = f"{folder}/part-%05d-{files[0].split('-', 2)[2]}"
+        parts = 1 + max(map(part_of, files))
+        light = self.spark.read.schema("id long, fp binary, whole binary").parquet(f"{self.path}/{folder}").select("id", "fp", "whole", F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)-", 1).cast("int").alias("part"))
+
+        kinds = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("fp").alias("check")), F.struct(F.lit(1).alias("kind"), F.col("whole").alias("check")))).alias("k")
+        keyed = light.select("id", "part", kinds).filter("k.check is not null").select(F.xxhash64("k.kind", "k.check").alias("key"), "k.kind", "k.check", F.struct("id", "part").alias("at"))
+        # One combinable aggregate: copies that a third of the batch consists of are one row a task.
+        firsts = keyed.groupBy("key", "kind", "check").agg(F.min("at").alias("at")).select("key", "kind", "check", "at.id", "at.part")
+        temp = self._new_run("temp", self._by_range(firsts).mapInArrow(_known(self._runs("exact"), self.state["ranges"], self.entries_read), _EXACT))
+        found = self._scan(temp, _EXACT)
+
+        loc = (F.lit(g << PART_BITS).cast("long") + F.col("part")).alias("loc")
+        new = found.filter("kind = 1 and first is null").select("id", "part", loc)
+        if self.order is None:
+            self._learn(new)
+        new = new.repartitionById(parts, "part").sortWithinPartitions("id").select("id", "loc")
+        run = self._new_run("index", new.mapInArrow(_entries(self._sets_of(), self.order, self.tenths), _ENTRY))
+        self.state["index"].append(run)
+        near = self._near(run, parts).withColumn("kind", F.lit(1))
+
+        # A key that the history has keeps its first record and what that one matches.
+        exact = found.withColumnRenamed("near", "held").join(near, ["id", "kind"], "left")
+        exact = exact.select("key", "kind", "check", F.coalesce("first", "id").alias("id"), "part", "first", F.coalesce("held", "near").alias("near"))
+        self.state["exact"].append(self._new_run("exact", exact))
+        answers = f"{self.path}/answers/{g:08d}-{uuid.uuid4().hex}"
+        self._answers(light, self._scan(self.state["exact"][-1], _EXACT)).write.parquet(answers)
+        self._commit()
+        remove_path(self.spark, f"{self.path}/{temp['path']}")
+        self._compact()
+        return self.spark.read.schema("id long, exact long, near long").parquet(answers).select(F.col("id").alias(id), "exact", "near")
+
+    def _by_range(self, df: DataFrame) -> DataFrame:
+        return df.repartitionById(self.state["ranges"], key_range(F.col("key"), self.state["ranges"])).sortWithinPartitions("key")
+
+    def _near(self, run: dict, parts: int) -> DataFrame:
+        """id, near: the smallest record that a new set matches, where that is smaller."""
+        g, ranges, runs = self.state["generation"], self.state["ranges"], self._runs("index")
+        met = self._scan(run, _ENTRY).mapInArrow(_windows(runs, ranges, g, self.tenths, self.star, self.entries_read), _PROBE)
+        met = met.repartitionById(parts, "part").sortWithinPartitions("id")
+        return met.mapInArrow(_nears(self._sets_of(), runs, ranges, g, self.tenths, self.entries_read), "id long, near long")
+
+    def _answers(self, light: DataFrame, exact: DataFrame) -> DataFrame:
+        """id, exact, near of the batch's rows. Rows join with one row a key, so a key with a third of the rows makes a
+        skewed side only, which adaptive execution splits; rows without a key get one of their own that nothing has."""
+        own = F.encode(F.concat(F.lit("none "), F.lpad(F.col("id").cast("string"), 20, "0")), "UTF-8")
+        rows = light.select("id", F.coalesce("fp", own).alias("fp"), F.coalesce("whole", own).alias("whole"))
+        by_fp = exact.filter("kind = 0").select(F.col("check").alias("fp"), F.col("id").alias("first"))
+        by_set = exact.filter("kind = 1").select(F.col("check").alias("whole"), F.col("id").alias("same"), "near")
+        rows = rows.join(by_fp, "fp", "left").join(by_set, "whole", "left")
         earlier = lambda c: F.when(F.col(c) < F.col("id"), F.col(c))
-        return out.select(F.col("id").alias(id), earlier("first").alias("exact"), F.coalesce(F.least(earlier("same"), earlier("near")), earlier("same"), earlier("near")).alias("near"))
+        return rows.select("id", earlier("first").alias("exact"), F.coalesce(earlier("near"), earlier("same")).alias("near"))
+
+    # -- compaction
+
+    def _tail(self, runs: list[dict]) -> int:
+        """How many of the newest runs to merge: none before there are compact_every of them, then all that are not
+        larger than what is newer, so that sizes of the runs left grow in a geometric series."""
+        if len(runs) < self.compact_every:
+            return 0
+        n, total = 1, runs[-1]["bytes"]
+        while n < len(runs) and runs[-1 - n]["bytes"] <= 2 * total:
+            total += runs[-1 - n]["bytes"]
+            n += 1
+        return n if n > 1 else 0
+
+    def _compact(self) -> None:
+        """Merge runs of similar size. If the index has doubled since its order was learned, learn it again from all
+        its records and make all its entries again."""
+        gone, spark = [], self.spark
+        n = self._tail(self.state["exact"])
+        if n:
+            old, kept = self.state["exact"][-n:], self.state["exact"][:-n]
+            rows = spark.read.schema(_EXACT).parquet(*[f"{self.path}/{r['path']}" for r in old])
+            merged = rows.groupBy("key", "kind", "check").agg(F.min(F.struct("id", "part", "first", "near")).alias("r")).select("key", "kind", "check", "r.*")
+            self.state["exact"] = [*kept, self._new_run("exact", merged)]
+            gone += old
+        size = sum(r["bytes"] for r in self.state["index"])
+        n = self._tail(self.state["index"])
+        if n and size > 2 * self.state["learned_at"]:
+            n = len(self.state["index"])
+        if n:
+            old, kept = self.state["index"][-n:], self.state["index"][:-n]
+            rows = spark.read.schema(_ENTRY).parquet(*[f"{self.path}/{r['path']}" for r in old])
+            if not kept and size > 2 * self.state["learned_at"]:
+                # Each record has one entry with place 0; sorted by place, sets are read in the order they lie in.
+                records = rows.filter("place = 0").select("id", "loc").repartitionByRange(default_parallelism(spark), "loc", "id").sortWithinPartitions("loc", "id")
+                self._learn(records)
+                rows = records.mapInArrow(_entries(self._sets_of(), self.order, self.tenths), _ENTRY)
+                self.state["learned_at"] = size
+            self.state["index"] = [*kept, self._new_run("index", rows)]
+            gone += old
+        if gone:
+            self._commit()
+            for run in gone:
+                remove_path(spark, f"{self.path}/{run['path']}")

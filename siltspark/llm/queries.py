@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltspark.functions.columns import fingerprint_bytes
@@ -14,7 +14,7 @@ from siltspark.llm.ledger import KeyLedger, answer_errors
 from siltspark.llm.mixing import mix_sources
 from siltspark.llm.quality import text_quality
 from siltspark.llm.splitting import oversized, split_files
-from siltspark.session import materialize, table, widen
+from siltspark.session import materialize, scratch_path, table, widen
 
 #: The ranks file of byte_bpe_50k; executors need no copy.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -43,16 +43,45 @@ def p5_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer_errors(_answers(spark, sf_dir), history, "arrival_no")
 
 
-def _duplicates(spark: SparkSession, sf_dir: str, batches: int = 2) -> DataFrame:
-    """Answers for all rows, admitted as that many batches of consecutive arrivals (each holds whole ranges of jobs)."""
-    rows = table(spark, sf_dir, "chunks_of_file").select("occurrence_id", "fingerprint", "data")
-    low, high = rows.agg(F.min("occurrence_id"), F.max("occurrence_id")).first()
+#: Batches that the jobs of chunks_of_file are grouped into; places where a batch may begin are looked for by that many blocks.
+BATCHES, BLOCKS = 12, 1000
+
+
+def job_batches(rows: DataFrame, batches: int = BATCHES) -> list[int]:
+    """The first ids of batches of whole jobs, in order of arrival, of rows (occurrence_id, job_id). A batch begins at
+    the first job, from each of that many even cuts on, before which no job is open; jobs that overlap everywhere
+    make fewer and larger batches. Rows without a job are jobs of their own."""
+    jobs = rows.groupBy(F.coalesce("job_id", F.concat(F.lit("none "), F.col("occurrence_id").cast("string"))).alias("job")).agg(F.min("occurrence_id").alias("first"), F.max("occurrence_id").alias("last"))
+    jobs = materialize(jobs, "jobs")
+    low, high = jobs.agg(F.min("first"), F.max("last")).first()
+    if low is None:
+        return []
+    width = max(1, -(-(high - low + 1) // BLOCKS))
+    jobs = jobs.withColumn("block", F.floor((F.col("first") - low) / width))
+    # What earlier blocks leave open is one row a block, so that no window spans all jobs.
+    until = jobs.groupBy("block").agg(F.max("last").alias("last"))
+    before = until.select("block", F.max("last").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("open"))
+    within = Window.partitionBy("block").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    open_until = F.greatest(F.max("last").over(within), F.col("open"))
+    clean = jobs.join(before, "block").select("first", open_until.alias("until")).filter(F.col("until").isNull() | (F.col("until") < F.col("first")))
+    cut = F.floor((F.col("first") - low) * batches / (high - low + 1))
+    return sorted(r[0] for r in clean.groupBy(cut.alias("cut")).agg(F.min("first")).select(F.col("min(first)")).collect())
+
+
+def _duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers for all rows, admitted in batches of whole jobs in order of arrival."""
+    rows = table(spark, sf_dir, "chunks_of_file").select("occurrence_id", "job_id", "fingerprint", "data")
+    begins = job_batches(rows.select("occurrence_id", "job_id"))
+    # Batches are laid out apart once, as they would arrive, so that none reads the table of all.
+    number = sum((F.when(F.col("occurrence_id") >= b, 1).otherwise(0) for b in begins), F.lit(0))
+    landing = scratch_path(spark, "arrivals")
+    rows.drop("job_id").withColumn("batch", number).write.partitionBy("batch").parquet(landing)
     history, out = History(spark), None
-    cuts = [low + (high - low + 1) * i // batches for i in range(batches + 1)] if low is not None else [0, 1]
-    for lo, hi in zip(cuts[:-1], cuts[1:]):
-        part = history.admit(widen(rows.filter((F.col("occurrence_id") >= lo) & (F.col("occurrence_id") < hi))), "occurrence_id", "fingerprint", "data")
+    for i in range(len(begins)):
+        batch = spark.read.schema("occurrence_id long, fingerprint string, data binary").parquet(f"{landing}/batch={i + 1}")
+        part = history.admit(widen(batch), "occurrence_id", "fingerprint", "data")
         out = part if out is None else out.unionByName(part)
-    return out
+    return out if out is not None else history.admit(rows, "occurrence_id", "fingerprint", "data")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

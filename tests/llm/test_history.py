@@ -80,13 +80,9 @@ def test_batches_with_compaction_equal_brute_force(spark):
     assert admit(spark, table, [0, 60, 60, 110, 150], reopen=True, compact_every=2) == brute(table)
 
 
-def test_hot_cluster_wide_windows(spark, monkeypatch):
-    from siltspark.llm import history
-
-    monkeypatch.setattr(history, "WINDOW", 16)
-    monkeypatch.setattr(history, "STAR", 4)
+def test_hot_cluster_wide_windows(spark):
     table = corpus(200, 3)
-    assert admit(spark, table, [0, 120, 200]) == brute(table)
+    assert admit(spark, table, [0, 120, 200], star=4, group_rows=100) == brute(table)
 
 
 def test_empty_batches(spark):
