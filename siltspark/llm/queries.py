@@ -44,7 +44,7 @@ def p5_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Batches that the jobs of chunks_of_file are grouped into; places where a batch may begin are looked for by that many blocks.
-BATCHES, BLOCKS = 12, 1000
+BATCHES, BLOCKS = 10, 1000
 
 
 def job_batches(rows: DataFrame, batches: int = BATCHES) -> list[int]:
@@ -75,11 +75,11 @@ def _duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Batches are laid out apart once, as they would arrive, so that none reads the table of all.
     number = sum((F.when(F.col("occurrence_id") >= b, 1).otherwise(0) for b in begins), F.lit(0))
     landing = scratch_path(spark, "arrivals")
-    rows.drop("job_id").withColumn("batch", number).write.partitionBy("batch").parquet(landing)
+    widen(rows.drop("job_id")).withColumn("batch", number).write.partitionBy("batch").parquet(landing)
     history, out = History(spark), None
     for i in range(len(begins)):
         batch = spark.read.schema("occurrence_id long, fingerprint string, data binary").parquet(f"{landing}/batch={i + 1}")
-        part = history.admit(widen(batch), "occurrence_id", "fingerprint", "data")
+        part = history.admit(batch, "occurrence_id", "fingerprint", "data")
         out = part if out is None else out.unionByName(part)
     return out if out is not None else history.admit(rows, "occurrence_id", "fingerprint", "data")
 
