@@ -17,8 +17,8 @@ ranges (sorted_runs). Per batch:
 Nothing scans or shuffles what earlier batches left. Lookups decode only the row groups that hold a key of the batch
 (`entries_read` counts their rows): they follow the batch once the runs have more row groups than the batch has keys,
 and are at most one pass over the narrow runs (about 30 bytes an entry) below that. Runs are merged by size, so an
-entry is rewritten a logarithmic number of times; whenever the index has doubled, its order of rarity is learned anew
-and its entries are made again."""
+entry is rewritten a logarithmic number of times; whenever the index is three times as large, its order of rarity is learned
+anew and its entries are made again."""
 
 from __future__ import annotations
 
@@ -45,11 +45,15 @@ CELLS = 1 << 16
 STAR = 64
 #: Rows of a row group of sets, of entries; rows of a file of entries.
 SET_ROWS, GROUP_ROWS, FILE_ROWS = 64, 4096, 1 << 22
+#: The order of rarity is learned again when the index has grown by that.
+RELEARN = 3
 #: Entries of wide windows that a worker keeps.
 WINDOW_CACHE = 4 << 20
-_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+#: Brings a run's hash, and a record's id in the order of matches, to the upper bits of a key.
+_KEY_SHIFT, _SPREAD = np.uint64(64 - 8 * WIDTH), 0x9E3779B97F4A7C15
 _NONE = np.int64((1 << 63) - 1)
 _EXACT = "key long, kind int, check binary, id long, part int, first long, near long"
+_NEAR = "key long, id long, near long"
 _ENTRY = "key long, id long, n int, place int, loc long"
 _PROBE = "id long, part int, n int, x long, m int, xloc long, close boolean, wide boolean, key long, place int"
 
@@ -96,21 +100,26 @@ def _add(pdf):
     return pd.DataFrame({"cell": [int(pdf["cell"].iloc[0])], "counts": [total.tobytes()]})
 
 
-def _known(runs: list[dict], ranges: int, counter):
+def _near_key(ids: np.ndarray) -> np.ndarray:
+    return (ids.astype(np.uint64) * np.uint64(_SPREAD)).view(np.int64)
+
+
+def _known(runs: list[dict], nears: list[dict], ranges: int, counter):
     """Batch keys (key, kind, check, id, part) with the first record of each in the exact runs, and what that matches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = KeyReader(runs, ranges, ["key", "check", "id", "near"])
+        reader, matched = KeyReader(runs, ranges, ["key", "check", "id"]), KeyReader(nears, ranges, ["key", "id", "near"])
         for batch in batches:
-            found: dict[tuple, tuple] = {}
+            found: dict[tuple, int] = {}
             for t in reader.find(np.unique(batch.column(0).to_numpy())) if runs else ():
-                for key, check, ident, near in zip(*(t[c].to_pylist() for c in reader.columns)):
-                    held = found.get((key, check))
-                    if held is None or ident < held[0]:
-                        found[key, check] = ident, near
-            hits = [found.get(x, (None, None)) for x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())] if found else [(None, None)] * batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([h[0] for h in hits], pa.int64()), pa.array([h[1] for h in hits], pa.int64())], names=[*batch.schema.names, "first", "near"])
-        counter.add(reader.rows)
+                for key, check, ident in zip(*(t[c].to_pylist() for c in reader.columns)):
+                    found[key, check] = min(ident, found.get((key, check), ident))
+            first = [found.get(x) for x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())] if found else [None] * batch.num_rows
+            firsts = np.array(sorted({f for f, kind in zip(first, batch.column(1).to_pylist()) if f is not None and kind == 1}), np.int64)
+            _, ids, near = matched.arrays(np.unique(_near_key(firsts)))
+            near = dict(zip(ids.tolist(), near.tolist()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first, pa.int64()), pa.array([near.get(f) for f in first], pa.int64())], names=[*batch.schema.names, "first", "near"])
+        counter.add(reader.rows + matched.rows)
 
     return run
 
@@ -127,7 +136,7 @@ def _entries(sets: dict[int, str], order, tenths: int):
                 # tenths / 10 is the similarity; whole numbers keep the bound exact.
                 p = len(runs) - (tenths * len(runs) + 9) // 10 + 1
                 ranked = np.sort(rank[(runs >> np.uint64(CELL_SHIFT)).astype(np.int64)] | runs)[:p]
-                keys.append((ranked & np.uint64((1 << 48) - 1)) * _SPREAD)
+                keys.append(ranked << _KEY_SHIFT)
                 ns.append(len(runs)), lengths.append(p)
             if keys:
                 places = np.concatenate([np.arange(p, dtype=np.int32) for p in lengths])
@@ -176,7 +185,7 @@ def _windows(runs: list[dict], ranges: int, generation: int, tenths: int, star:
                 keep = wide[probe] | _fits(a, m, tenths)
                 probe, at, a, m = probe[keep], at[keep], a[keep], m[keep]
                 near = _close(a, place[probe].astype(np.int64), m, wplace[at], tenths) & _fits(a, m, tenths)
-                columns = ident[probe], (loc[probe] & ((1 << PART_BITS) - 1)).astype(np.int32), a.astype(np.int32), wid[at], m.astype(np.int32), wloc[at], near, wide[probe], key[probe], place[probe]
+                columns = ident[probe], (loc[probe] & ((1 << PART_BITS) - 1)).astype(np.int32), a.astype(np.int32), wid[at], m.astype(np.int32), wloc[at], near, wide[probe], np.where(wide[probe], key[probe], 0), np.where(wide[probe], place[probe], 0).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
         counter.add(reader.rows)
 
@@ -262,7 +271,7 @@ class _Judge:
 
 
 def _nears(sets: dict[int, str], runs: list[dict], ranges: int, generation: int, tenths: int, counter):
-    """id, near from probes that come sorted by record."""
+    """key, id, near from probes that come sorted by record."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = _Judge(sets, runs, ranges, generation, tenths)
@@ -270,7 +279,7 @@ def _nears(sets: dict[int, str], runs: list[dict], ranges: int, generation: int,
 
         def out(t: dict[str, np.ndarray]) -> pa.RecordBatch:
             ids, near = judge.decide(t)
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(near, pa.int64())], names=["id", "near"])
+            return pa.RecordBatch.from_arrays([pa.array(_near_key(ids)), pa.array(ids, pa.int64()), pa.array(near, pa.int64())], names=["key", "id", "near"])
 
         for batch in batches:
             t = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(batch.schema.names)}
@@ -308,7 +317,7 @@ class History:
             if self.state["order"]:
                 self.order = spark.sparkContext.broadcast(read_bytes(spark, f"{self.path}/{self.state['order']}"))
         else:
-            self.state = {"version": 0, "generation": 0, "ranges": ranges or 1 << (default_parallelism(spark).bit_length() - 1), "sets": {}, "exact": [], "index": [], "order": None, "learned_at": 0}
+            self.state = {"version": 0, "generation": 0, "ranges": ranges or 1 << (default_parallelism(spark).bit_length() - 1), "sets": {}, "exact": [], "nears": [], "index": [], "order": None, "learned_at": 0}
 
     # -- small things
 
@@ -322,9 +331,9 @@ class History:
     def _runs(self, kind: str) -> list[dict]:
         return [r | {"path": f"{self.path}/{r['path']}"} for r in self.state[kind]]
 
-    def _new_run(self, kind: str, df: DataFrame) -> dict:
+    def _new_run(self, kind: str, df: DataFrame, sorted_already: bool = False) -> dict:
         name = f"{kind}/{uuid.uuid4().hex}"
-        write_run(df, f"{self.path}/{name}", self.state["ranges"], self.group_rows, FILE_ROWS)
+        write_run(df if sorted_already else self._sorted(df, "key", "id"), f"{self.path}/{name}", self.group_rows, FILE_ROWS)
         return run_files(self.spark, f"{self.path}/{name}") | {"path": name}
 
     def _scan(self, run: dict, schema: str) -> DataFrame:
@@ -353,7 +362,9 @@ class History:
         g = self.state["generation"] = self.state["generation"] + 1
         folder = f"sets/{g:08d}-{uuid.uuid4().hex}"
         d = F.col(f"`{data}`").cast("binary")
-        source = batch.select(F.col(f"`{id}`").cast("long").alias("id"), F.coalesce(fingerprint_bytes(F.col(f"`{fingerprint}`")), F.unhex(sha2_hex(d))).alias("fp"), d.alias("data"))
+        source = batch.select(F.col(f"`{id}`").cast("long").alias("id"), F.coalesce(fingerprint_bytes(F.col(f"`{fingerprint}`")), F.unhex(sha2_hex(d))).alias("f"), d.alias("data"))
+        # Half a hash of the fingerprint stands for it: 128 bits, as for whole sets.
+        source = source.select("id", F.unhex(F.substring(F.sha2("f", 256), 1, 32)).alias("fp"), "data")
         sets = source.mapInArrow(_sets(self.k), "id long, fp binary, n int, whole binary, runs binary").sortWithinPartitions("id")
         sets.write.option("parquet.block.row.count.limit", SET_ROWS).parquet(f"{self.path}/{folder}")
         files = [n for n, _ in list_files(self.spark, f"{self.path}/{folder}") if n.startswith("part-")]
@@ -366,46 +377,42 @@ class History:
         keyed = light.select("id", "part", kinds).filter("k.check is not null").select(F.xxhash64("k.kind", "k.check").alias("key"), "k.kind", "k.check", F.struct("id", "part").alias("at"))
         # One combinable aggregate: copies that a third of the batch consists of are one row a task.
         firsts = keyed.groupBy("key", "kind", "check").agg(F.min("at").alias("at")).select("key", "kind", "check", "at.id", "at.part")
-        temp = self._new_run("temp", self._by_range(firsts).mapInArrow(_known(self._runs("exact"), self.state["ranges"], self.entries_read), _EXACT))
-        found = self._scan(temp, _EXACT)
+        found = self._sorted(firsts, "key").mapInArrow(_known(self._runs("exact"), self._runs("nears"), self.state["ranges"], self.entries_read), _EXACT)
+        self.state["exact"].append(self._new_run("exact", found, sorted_already=True))
+        found = self._scan(self.state["exact"][-1], _EXACT)
 
         loc = (F.lit(g << PART_BITS).cast("long") + F.col("part")).alias("loc")
         new = found.filter("kind = 1 and first is null").select("id", "part", loc)
         if self.order is None:
             self._learn(new)
         new = new.repartitionById(parts, "part").sortWithinPartitions("id").select("id", "loc")
-        run = self._new_run("index", new.mapInArrow(_entries(self._sets_of(), self.order, self.tenths), _ENTRY))
-        self.state["index"].append(run)
-        near = self._near(run, parts).withColumn("kind", F.lit(1))
-
-        # A key that the history has keeps its first record and what that one matches.
-        exact = found.withColumnRenamed("near", "held").join(near, ["id", "kind"], "left")
-        exact = exact.select("key", "kind", "check", F.coalesce("first", "id").alias("id"), "part", "first", F.coalesce("held", "near").alias("near"))
-        self.state["exact"].append(self._new_run("exact", exact))
+        self.state["index"].append(self._new_run("index", new.mapInArrow(_entries(self._sets_of(), self.order, self.tenths), _ENTRY)))
+        self.state["nears"].append(self._new_run("nears", self._near(self.state["index"][-1], parts)))
+
         answers = f"{self.path}/answers/{g:08d}-{uuid.uuid4().hex}"
-        self._answers(light, self._scan(self.state["exact"][-1], _EXACT)).write.parquet(answers)
+        self._answers(light, found, self._scan(self.state["nears"][-1], _NEAR)).write.parquet(answers)
         self._commit()
-        remove_path(self.spark, f"{self.path}/{temp['path']}")
         self._compact()
         return self.spark.read.schema("id long, exact long, near long").parquet(answers).select(F.col("id").alias(id), "exact", "near")
 
-    def _by_range(self, df: DataFrame) -> DataFrame:
-        return df.repartitionById(self.state["ranges"], key_range(F.col("key"), self.state["ranges"])).sortWithinPartitions("key")
+    def _sorted(self, df: DataFrame, *order: str) -> DataFrame:
+        return df.repartitionById(self.state["ranges"], key_range(F.col("key"), self.state["ranges"])).sortWithinPartitions(*order)
 
     def _near(self, run: dict, parts: int) -> DataFrame:
-        """id, near: the smallest record that a new set matches, where that is smaller."""
+        """key, id, near: the smallest record that a new set matches, where that is smaller."""
         g, ranges, runs = self.state["generation"], self.state["ranges"], self._runs("index")
         met = self._scan(run, _ENTRY).mapInArrow(_windows(runs, ranges, g, self.tenths, self.star, self.entries_read), _PROBE)
         met = met.repartitionById(parts, "part").sortWithinPartitions("id")
-        return met.mapInArrow(_nears(self._sets_of(), runs, ranges, g, self.tenths, self.entries_read), "id long, near long")
+        return met.mapInArrow(_nears(self._sets_of(), runs, ranges, g, self.tenths, self.entries_read), _NEAR)
 
-    def _answers(self, light: DataFrame, exact: DataFrame) -> DataFrame:
+    def _answers(self, light: DataFrame, exact: DataFrame, nears: DataFrame) -> DataFrame:
         """id, exact, near of the batch's rows. Rows join with one row a key, so a key with a third of the rows makes a
         skewed side only, which adaptive execution splits; rows without a key get one of their own that nothing has."""
         own = F.encode(F.concat(F.lit("none "), F.lpad(F.col("id").cast("string"), 20, "0")), "UTF-8")
         rows = light.select("id", F.coalesce("fp", own).alias("fp"), F.coalesce("whole", own).alias("whole"))
-        by_fp = exact.filter("kind = 0").select(F.col("check").alias("fp"), F.col("id").alias("first"))
-        by_set = exact.filter("kind = 1").select(F.col("check").alias("whole"), F.col("id").alias("same"), "near")
+        by_fp = exact.filter("kind = 0").select(F.col("check").alias("fp"), F.coalesce("first", "id").alias("first"))
+        by_set = exact.filter("kind = 1").select("id", F.col("check").alias("whole"), "first", F.col("near").alias("held")).join(nears.select("id", "near"), "id", "left")
+        by_set = by_set.select("whole", F.coalesce("first", "id").alias("same"), F.coalesce("held", F.when(F.col("first").isNull(), F.col("near"))).alias("near"))
         rows = rows.join(by_fp, "fp", "left").join(by_set, "whole", "left")
         earlier = lambda c: F.when(F.col(c) < F.col("id"), F.col(c))
         return rows.select("id", earlier("first").alias("exact"), F.coalesce(earlier("near"), earlier("same")).alias("near"))
@@ -418,30 +425,32 @@ class History:
         if len(runs) < self.compact_every:
             return 0
         n, total = 1, runs[-1]["bytes"]
-        while n < len(runs) and runs[-1 - n]["bytes"] <= 2 * total:
+        while n < len(runs) and runs[-1 - n]["bytes"] <= 1.1 * total:
             total += runs[-1 - n]["bytes"]
             n += 1
         return n if n > 1 else 0
 
     def _compact(self) -> None:
-        """Merge runs of similar size. If the index has doubled since its order was learned, learn it again from all
-        its records and make all its entries again."""
+        """Merge runs of similar size. If the index is three times as large as when its order was learned, learn it again
+        from all its records and make all its entries again."""
         gone, spark = [], self.spark
-        n = self._tail(self.state["exact"])
-        if n:
-            old, kept = self.state["exact"][-n:], self.state["exact"][:-n]
-            rows = spark.read.schema(_EXACT).parquet(*[f"{self.path}/{r['path']}" for r in old])
-            merged = rows.groupBy("key", "kind", "check").agg(F.min(F.struct("id", "part", "first", "near")).alias("r")).select("key", "kind", "check", "r.*")
-            self.state["exact"] = [*kept, self._new_run("exact", merged)]
-            gone += old
+        for kind, schema, keys in (("exact", _EXACT, ("key", "kind", "check")), ("nears", _NEAR, ("key", "id"))):
+            n = self._tail(self.state[kind])
+            if n:
+                old, kept = self.state[kind][-n:], self.state[kind][:-n]
+                rows = spark.read.schema(schema).parquet(*[f"{self.path}/{r['path']}" for r in old])
+                if kind == "exact":
+                    rows = rows.filter("first is null")  # all others are in an older run
+                self.state[kind] = [*kept, self._new_run(kind, rows)]
+                gone += old
         size = sum(r["bytes"] for r in self.state["index"])
         n = self._tail(self.state["index"])
-        if n and size > 2 * self.state["learned_at"]:
+        if n and size > RELEARN * self.state["learned_at"]:
             n = len(self.state["index"])
         if n:
             old, kept = self.state["index"][-n:], self.state["index"][:-n]
             rows = spark.read.schema(_ENTRY).parquet(*[f"{self.path}/{r['path']}" for r in old])
-            if not kept and size > 2 * self.state["learned_at"]:
+            if not kept and size > RELEARN * self.state["learned_at"]:
                 # Each record has one entry with place 0; sorted by place, sets are read in the order they lie in.
                 records = rows.filter("place = 0").select("id", "loc").repartitionByRange(default_parallelism(spark), "loc", "id").sortWithinPartitions("loc", "id")
                 self._learn(records)

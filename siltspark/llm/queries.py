@@ -75,7 +75,7 @@ def _duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Batches are laid out apart once, as they would arrive, so that none reads the table of all.
     number = sum((F.when(F.col("occurrence_id") >= b, 1).otherwise(0) for b in begins), F.lit(0))
     landing = scratch_path(spark, "arrivals")
-    widen(rows.drop("job_id")).withColumn("batch", number).write.partitionBy("batch").parquet(landing)
+    widen(rows.drop("job_id")).withColumn("batch", number).write.partitionBy("batch").option("compression", "zstd").parquet(landing)
     history, out = History(spark), None
     for i in range(len(begins)):
         batch = spark.read.schema("occurrence_id long, fingerprint string, data binary").parquet(f"{landing}/batch={i + 1}")

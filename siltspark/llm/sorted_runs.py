@@ -33,11 +33,10 @@ def key_range(key: Column, ranges: int) -> Column:
     return F.shiftrightunsigned(key.bitwiseXOR(F.lit(-(1 << 63))), 64 - bits).cast("int") if bits else F.lit(0)
 
 
-def write_run(df: DataFrame, path: str, ranges: int, group_rows: int, file_rows: int = 0) -> None:
-    """Write df (with key) sorted by key into its ranges. file_rows: a range with more rows, a hot key's, takes
-    several files."""
-    writer = df.repartitionById(ranges, key_range(F.col("key"), ranges)).sortWithinPartitions("key", "id").write
-    writer.option("parquet.block.row.count.limit", group_rows).option("maxRecordsPerFile", file_rows).parquet(path)
+def write_run(df: DataFrame, path: str, group_rows: int, file_rows: int = 0) -> None:
+    """Write df, which is sorted by key in partitions that are its ranges. file_rows: a range with more rows, a hot
+    key's, takes several files."""
+    df.write.option("parquet.block.row.count.limit", group_rows).option("maxRecordsPerFile", file_rows).parquet(path)
 
 
 def run_files(spark: SparkSession, path: str) -> dict:

@@ -96,3 +96,43 @@ def test_packing():
     assert (unpack(pack(s)) == s).all() and len(run_set("a b", 3)) == 0
     assert (run_set("a b c d", 3) == run_set("A. b;C_d", 3)).all()
 
+
+
+def test_reads_follow_the_batch_and_not_the_history(spark):
+    rng = random.Random(7)
+    text = lambda: " ".join("w%d" % rng.randrange(5000) for _ in range(40)).encode()
+    history = History(spark, ranges=4, group_rows=100)
+    rows = lambda lo, hi: spark.createDataFrame([(i, None, bytearray(text()), "") for i in range(lo, hi)], SCHEMA)
+    history.admit(rows(0, 1500), "occurrence_id", "fingerprint", "data")
+    read = []
+    for i in range(10):
+        before = history.entries_read.value
+        assert history.admit(rows(2000 + 2 * i, 2002 + 2 * i), "occurrence_id", "fingerprint", "data").count() == 2
+        read.append(history.entries_read.value - before)
+    assert sum(read[-3:]) <= 1.2 * sum(read[2:5]) and max(read) < 0.25 * 1500 * 13, read
+
+
+def test_hot_copies_and_late_ties(spark):
+    """A third of each batch is one text, another third one fingerprint without data."""
+    fp = "ab" * 32
+    table = [(i, fp if i % 3 == 1 else None, bytearray(b"the same four words") if i % 3 == 0 else None if i % 3 == 1 else bytearray(b"w%d a b c d" % i), "") for i in range(90)]
+    assert admit(spark, table, [0, 30, 31, 90], compact_every=2) == brute(table)
+
+
+def test_batches_are_whole_jobs(spark):
+    from siltspark.llm.queries import job_batches
+
+    rng = random.Random(3)
+    jobs, n = [], 0
+    for j in range(120):
+        for _ in range(rng.randrange(1, 8)):
+            jobs.append((n, f"j{j if rng.random() < 0.8 else max(0, j - 2)}" if rng.random() < 0.95 else None))
+            n += 1
+    begins = job_batches(spark.createDataFrame(jobs, "occurrence_id long, job_id string"), 10)
+    assert begins[0] == 0 and len(begins) >= 3
+    spread = {}
+    for i, job in jobs:
+        spread.setdefault(job, set()).add(sum(i >= b for b in begins))
+    assert all(len(v) == 1 for job, v in spread.items() if job is not None)
+    assert job_batches(spark.createDataFrame([], "occurrence_id long, job_id string")) == []
+    assert job_batches(spark.createDataFrame([(1, "a"), (9, "b"), (5, "b"), (12, "a")], "occurrence_id long, job_id string")) == [1]
