@@ -11,6 +11,8 @@ from itertools import product
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltspark.session import materialize
+
 #: Targets and references of one key meet by the hour; groups of one task are those of one key and hour.
 BUCKET_S = 3600
 #: References without a time are equal for all rows of a key, so a key's rows are spread over that many groups.
@@ -48,41 +50,32 @@ def orphans_by_mask(refs: DataFrame, targets: DataFrame, keys: list[str], target
     return out
 
 
-def temporal_orphans(refs: DataFrame, targets: DataFrame, deletions: DataFrame | None = None, salts: int = SALTS) -> DataFrame:
-    """The rows of refs whose target does not live at their time, with kind.
-
-    refs: key (string or binary), t timestamp, any other columns. targets: key, begin timestamp, end timestamp (null: none), always
-    boolean (lives at any time). deletions: key, at. A target row lives at t if begin <= t, t < end and no deletion of
-    its key lies in [begin, t]. kind: missing - the key has no target row; late - all its rows begin after t; else
-    deleted. Null masks: a null key refers to nothing and is dropped (match simple); a null t means the end of all
-    time. A target row with a null begin exists but never lives. A target has an end or deletions, not both.
+def lives(refs: DataFrame, targets: DataFrame, deletions: DataFrame | None = None) -> DataFrame:
+    """key, at, alive, begun of what refs (key, t, salt) ask for, once or more for each pair: whether a target of the key lives
+    at that time, whether one begins by it, null at all if the key has no target. See temporal_orphans.
 
     No pair of references and targets is formed. Rows of one key are put in order of time, targets before references
-    of the same time, and what lives is a running maximum. The groups are (key, hour), or (key, salt) for the mask
+    of the same time, and what lives is a running maximum. The groups are (key, hour), or (key, salt) for references
     without a time; what earlier hours leave behind is carried over from per-hour maxima, which are combined before
     the shuffle. So a key with a third of all rows is spread over its hours and salts."""
     micros = lambda c: F.unix_micros(c)
     null = F.lit(None).cast("long")
-    own = [c for c in refs.columns if c not in ("key", "t", "kind")]
-    payload = F.struct(*[F.col(f"`{c}`") for c in own], F.lit(0).alias("_"))
     state = ("born", "ends", "gone", "begun")
-    is_ref = F.col("ref").isNotNull()
-
-    r = refs.filter(F.col("key").isNotNull()).select(
-        "key", F.coalesce(micros("t"), F.lit(_ALWAYS)).alias("at"), F.lit(1).alias("turn"), *[null.alias(s) for s in state], F.lit(False).alias("there"), payload.alias("ref"),
-        F.when(F.col("t").isNull(), F.pmod(F.xxhash64(payload), F.lit(salts))).otherwise(F.lit(0)).cast("int").alias("salt"), F.col("t").alias("_t"),
+    is_ref = F.col("turn") == 1
+    asked = [F.lit(0).alias("salt")]
+    r = refs.select(
+        "key", F.coalesce(micros("t"), F.lit(_ALWAYS)).alias("at"), F.lit(1).alias("turn"), *[null.alias(s) for s in state], F.lit(False).alias("there"), "salt",
     )
-    empty = [F.lit(None).cast(r.schema["ref"].dataType).alias("ref"), F.lit(0).alias("salt"), F.lit(None).cast("timestamp").alias("_t")]
     always = F.coalesce(F.col("always"), F.lit(False))
     begin = F.when(always, F.lit(_NEVER)).otherwise(F.coalesce(micros("begin"), F.lit(_NEVER)))
-    lives = always | F.col("begin").isNotNull()
+    born = always | F.col("begin").isNotNull()
     t = targets.filter(F.col("key").isNotNull()).select(
-        "key", begin.alias("at"), F.lit(0).alias("turn"), F.when(always, F.lit(_ALWAYS)).when(lives, micros("begin")).alias("born"),
-        F.when(lives, F.when(always, F.lit(_ALWAYS + 1)).otherwise(F.coalesce(micros("end"), F.lit(_ALWAYS + 1)))).alias("ends"), null.alias("gone"), F.lit(1).cast("long").alias("begun"), F.lit(True).alias("there"), *empty,
+        "key", begin.alias("at"), F.lit(0).alias("turn"), F.when(always, F.lit(_ALWAYS)).when(born, micros("begin")).alias("born"),
+        F.when(born, F.when(always, F.lit(_ALWAYS + 1)).otherwise(F.coalesce(micros("end"), F.lit(_ALWAYS + 1)))).alias("ends"), null.alias("gone"), F.lit(1).cast("long").alias("begun"), F.lit(True).alias("there"), *asked,
     )
     events = r.unionByName(t)
     if deletions is not None:
-        events = events.unionByName(deletions.filter(F.col("key").isNotNull() & F.col("at").isNotNull()).select("key", micros("at").alias("at"), F.lit(0).alias("turn"), null.alias("born"), null.alias("ends"), micros("at").alias("gone"), null.alias("begun"), F.lit(False).alias("there"), *empty))
+        events = events.unionByName(deletions.filter(F.col("key").isNotNull() & F.col("at").isNotNull()).select("key", micros("at").alias("at"), F.lit(0).alias("turn"), null.alias("born"), null.alias("ends"), micros("at").alias("gone"), null.alias("begun"), F.lit(False).alias("there"), *asked))
     bucket = F.when(F.col("at").isin(_NEVER, _ALWAYS), F.col("at")).otherwise(F.floor(F.col("at") / (BUCKET_S * 1000000)))
     events = events.withColumn("bucket", bucket)
 
@@ -91,9 +84,38 @@ def temporal_orphans(refs: DataFrame, targets: DataFrame, deletions: DataFrame |
     by_key = Window.partitionBy("key")
     before = by_key.orderBy("bucket", "salt").rowsBetween(Window.unboundedPreceding, -1)
     carried = sums.select(*group, "asked", *[F.max(s).over(before).alias(s) for s in state], F.max("there").over(by_key).alias("there")).filter("asked")
-    carried = carried.select("key", F.lit(None).cast("long").alias("at"), F.lit(-1).alias("turn"), *state, "there", empty[0], "salt", empty[2], "bucket")
+    carried = carried.select("key", null.alias("at"), F.lit(-1).alias("turn"), *state, "there", "salt", "bucket")
     w = Window.partitionBy(*group).orderBy(F.col("at").asc_nulls_first(), "turn").rowsBetween(Window.unboundedPreceding, 0)
-    seen = events.unionByName(carried).select("key", "at", "ref", "_t", *[F.max(s).over(w).alias(s) for s in state], F.max("there").over(w).alias("there")).filter(is_ref)
+    seen = events.unionByName(carried).select("key", "at", "turn", *[F.max(s).over(w).alias(s) for s in state], F.max("there").over(w).alias("there")).filter(is_ref)
     alive = F.col("born").isNotNull() & (F.col("gone").isNull() | (F.col("born") > F.col("gone"))) & (F.col("ends") > F.col("at"))
-    kind = F.when(~F.col("there"), "missing").when(F.col("begun").isNull(), "late").otherwise("deleted")
-    return seen.filter(~alive).select("key", F.col("_t").alias("t"), *[F.col(f"ref.`{c}`").alias(c) for c in own], kind.alias("kind"))
+    return seen.filter("there").select("key", "at", F.coalesce(alive, F.lit(False)).alias("alive"), F.col("begun").isNotNull().alias("begun"))
+
+
+def temporal_orphans(refs: DataFrame, targets: DataFrame, deletions: DataFrame | None = None, salts: int = SALTS) -> DataFrame:
+    """The rows of refs whose target does not live at their time, with kind.
+
+    refs: key (string or binary), t timestamp, any other columns. targets: key, begin timestamp, end timestamp (null: none), always
+    boolean (lives at any time). deletions: key, at. A target row lives at t if begin <= t, t < end and no deletion of
+    its key lies in [begin, t]. kind: missing - the key has no target row; late - all its rows begin after t; else
+    deleted. Null masks: a null key refers to nothing and is dropped (match simple); a null t means the end of all
+    time. A target row with a null begin exists but never lives. A target has an end or deletions, not both.
+
+    The composite key is (key, t), and references are grouped by its null mask. Those with a time are anti-joined on
+    (key, t) with the pairs at which a target lives, those without one on the key alone with the keys alive at the end
+    of all time; kinds come from anti-joins of the orphans with the keys that have targets and the pairs by which one
+    has begun. The pairs (made by `lives`) and the orphans are written out, so that no join makes them again. A key with a third
+    of the references has many times; where it has none, adaptive execution splits its side of the join."""
+    own = [f"`{c}`" for c in refs.columns if c not in ("kind", "_at")]
+    r = refs.filter(F.col("key").isNotNull()).select(*own, F.unix_micros("t").alias("_at"))
+    salt = F.when(F.col("t").isNull(), F.pmod(F.xxhash64(*own), F.lit(salts))).otherwise(F.lit(0)).cast("int")
+    known = materialize(lives(r.select("key", "t", salt.alias("salt")), targets, deletions), "lives").withColumnRenamed("at", "_at")
+    living = known.filter("alive")
+    timed = r.filter(F.col("_at").isNotNull()).join(living.filter(F.col("_at") != _ALWAYS).select("key", "_at"), ["key", "_at"], "left_anti")
+    open_ = r.filter(F.col("_at").isNull()).join(living.filter(F.col("_at") == _ALWAYS).select("key"), "key", "left_anti")
+    orphans = materialize(timed.select(*own, "_at").unionByName(open_.select(*own, F.lit(_ALWAYS).alias("_at"))), "orphans")
+    missing = orphans.join(known.select("key"), "key", "left_anti").withColumn("kind", F.lit("missing"))
+    there = orphans.join(known.select("key"), "key", "left_semi")
+    begun = known.filter("begun and not alive").select("key", "_at")
+    late = there.join(begun, ["key", "_at"], "left_anti").withColumn("kind", F.lit("late"))
+    deleted = there.join(begun, ["key", "_at"], "left_semi").withColumn("kind", F.lit("deleted"))
+    return missing.select(*own, "kind").unionByName(late.select(*own, "kind")).unionByName(deleted.select(*own, "kind"))
