@@ -15,7 +15,7 @@ class EngineConfig:
     """min_size, max_size: bounds of a chunk in bytes. block_aligned: cut at every max_size bytes too, as a
     buffered reader would. hash_alg: sha2 (built in) or blake3 (Arrow UDF). mode: exact, or lru with lru_capacity
     remembered fingerprints. filter_capacity: keys the one-slot filter model is made for. touch_on_hit: a duplicate
-    moves last_referenced_time of the stored chunk. timeout_s: a session without an end after that is reported."""
+    moves last_referenced_time of the stored chunk. verify_on_put: bytes are hashed again before they are stored. timeout_s: a session without an end after that is reported."""
 
     min_size: int = 64
     max_size: int = 8192
@@ -26,6 +26,7 @@ class EngineConfig:
     filter_capacity: int = 10000
     location_prefix: str = LOCATION_PREFIX
     touch_on_hit: bool = True
+    verify_on_put: bool = True
     node_id: str = "storage-node-1"
     client_id: str = "test-client"
     policy_id: str = "default-policy"

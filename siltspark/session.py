@@ -54,6 +54,17 @@ def list_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
     return sorted((f.getPath().getName(), f.getLen()) for f in fs.listStatus(at) if f.isFile())
 
 
+def list_folders(spark: SparkSession, path: str) -> list[str]:
+    at, fs = _path(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(at) if f.isDirectory()) if fs.exists(at) else []
+
+
+def path_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of everything below a path."""
+    at, fs = _path(spark, path)
+    return fs.getContentSummary(at).getLength()
+
+
 def read_bytes(spark: SparkSession, path: str) -> bytes:
     at, fs = _path(spark, path)
     stream = fs.open(at)
