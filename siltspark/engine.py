@@ -27,6 +27,7 @@ class Engine:
         path = store_path or self.config.store_path
         if not path:
             raise ValueError("a store path is needed")
+        self.path = path.rstrip("/")
         self.store = ChunkStore(spark, path, self.config)
         self.manifests = VersionedTable(spark, f"{path}/manifests", "job_id string, file_path string, version long, offset long, size long, fingerprint string")
         self.recent = VersionedTable(spark, f"{path}/recent", "key string, age long")

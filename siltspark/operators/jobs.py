@@ -27,12 +27,13 @@ def session_violations(events: DataFrame, stream: str = "stream_id", order: str
 
 
 def job_status(events: DataFrame) -> DataFrame:
-    """backup_job_id, start_time, end_time, status of each job: INITIATED until its end says otherwise."""
+    """backup_job_id, start_time, end_time, status of each job: INITIATED until its end says otherwise. Of ends in one
+    second the larger status counts."""
     ends = F.col("event_type") == "END"
     out = events.filter(F.col("event_type").isin("START", "END")).groupBy("backup_job_id").agg(
-        F.min(F.when(~ends, F.col("timestamp"))).alias("_start"), F.max(F.when(ends, F.col("timestamp"))).alias("_end"), F.max_by(F.when(ends, F.col("status")), F.when(ends, F.col("timestamp"))).alias("_status")
+        F.min(F.when(~ends, F.col("timestamp"))).alias("_start"), F.max(F.when(ends, F.col("timestamp"))).alias("_end"), F.max(F.when(ends, F.struct("timestamp", "status"))).alias("_last")
     )
-    return out.select("backup_job_id", F.timestamp_seconds("_start").alias("start_time"), F.timestamp_seconds("_end").alias("end_time"), F.coalesce("_status", F.lit("INITIATED")).alias("status"))
+    return out.select("backup_job_id", F.timestamp_seconds("_start").alias("start_time"), F.timestamp_seconds("_end").alias("end_time"), F.coalesce("_last.status", F.lit("INITIATED")).alias("status"))
 
 
 def manifest(chunks: DataFrame, job: str, path: str) -> DataFrame:

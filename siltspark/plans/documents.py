@@ -9,7 +9,7 @@ from siltspark.config import EngineConfig
 from siltspark.operators import cache_model, dedup, jobs, metrics, restore, store
 from siltspark.operators.chunking import chunk_files
 from siltspark.session import materialize, scratch_path, table, widen
-from siltspark.sources.files import SEGMENT_SCHEMA, segments, text_as_files
+from siltspark.sources.files import SEGMENT_SCHEMA, job_end, job_start, segments, text_as_files
 
 ORDER = ["job", "file_id", "chunk_index"]
 LRU_CAPACITY = 300
@@ -52,8 +52,13 @@ def chunk_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir).select("file_id", "chunk_index", "size", F.substring("fingerprint", 1, 16).alias("fingerprint"))
 
 
+def cut_once(spark: SparkSession, sf_dir: str, with_data: bool = False) -> DataFrame:
+    """The chunks, written out, for queries that read them more than once: texts are cut and hashed once."""
+    return materialize(chunks(spark, sf_dir, with_data=with_data), "chunks")
+
+
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.classify(chunks(spark, sf_dir), ORDER, complete=True)
+    return dedup.classify(cut_once(spark, sf_dir), ORDER, complete=True)
 
 
 def dedup_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,8 +72,8 @@ def unique_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two batches, documents before 2025 and the others, the second against a store that has the first."""
     early = F.col("authored_at") < F.to_timestamp(F.lit("2025-01-01 00:00:00"))
-    dated = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.when(early, 1).otherwise(2).alias("batch"))
-    every = chunks(spark, sf_dir).join(dated, "file_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce("source", F.lit(NO_JOB)).alias("job"), F.when(early, 1).otherwise(2).alias("batch"))
+    every = materialize(chunk_files(text_as_files(widen(docs), "doc_id", "text", "job", "batch").drop("size")), "chunks")
     first, second = every.filter("batch = 1"), every.filter("batch = 2")
     out = dedup.classify(first, ORDER, complete=True).unionByName(dedup.classify(second, ORDER, first.select("fingerprint"), complete=True))
     return out.select("file_id", "chunk_index", "batch", "outcome")
@@ -87,7 +92,11 @@ def dedup_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lru_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cache_model.lru_outcomes(chunks(spark, sf_dir), "fingerprint", ORDER, LRU_CAPACITY).select("file_id", "chunk_index", "hit")
+    return cache_model.lru_outcomes(cut_once(spark, sf_dir), "fingerprint", ORDER, LRU_CAPACITY).select("file_id", "chunk_index", "hit")
+
+
+def _stored_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialize(dedup.first_occurrences(chunks(spark, sf_dir), ORDER), "stored-keys")
 
 
 def filter_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,13 +105,14 @@ def filter_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def filter_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored fingerprints that the filter denies."""
-    found = cache_model.filter_contains(dedup.first_occurrences(chunks(spark, sf_dir), ORDER), "fingerprint", filter_slots(spark, sf_dir), EngineConfig().filter_buckets)
+    keys, buckets = _stored_keys(spark, sf_dir), EngineConfig().filter_buckets
+    found = cache_model.filter_contains(keys, "fingerprint", cache_model.filter_slots(keys, "fingerprint", ORDER, buckets), buckets)
     return found.filter(~F.col("might_contain")).select("fingerprint")
 
 
 def filter_removals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slots after all keys were added and those of even documents removed."""
-    keys = dedup.first_occurrences(chunks(spark, sf_dir), ORDER).select(F.col("fingerprint").alias("key"), *ORDER)
+    keys = _stored_keys(spark, sf_dir).select(F.col("fingerprint").alias("key"), *ORDER)
     added = keys.select(F.lit("add").alias("op"), F.lit(0).alias("turn"), "key", *ORDER)
     removed = keys.filter(F.col("file_id") % 2 == 0).select(F.lit("remove").alias("op"), F.lit(1).alias("turn"), "key", *ORDER)
     return cache_model.filter_replay(added.unionByName(removed), ["turn", *ORDER], EngineConfig().filter_buckets)
@@ -119,8 +129,8 @@ def put_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunk_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Get requests: chunks of all documents, and their first halves as keys that nothing has."""
-    rows = chunks(spark, sf_dir, with_data=True)
-    objects = rows.select("fingerprint", F.col("data").alias("chunk_data")).dropDuplicates(["fingerprint"])
+    rows = cut_once(spark, sf_dir, with_data=True)
+    objects = _objects(rows)
     requests = rows.select("fingerprint").unionAll(rows.select(F.substring("fingerprint", 1, 32)))
     return store.get_results(requests, objects).groupBy("fingerprint", "found", "size").agg(F.count("*").alias("requests"))
 
@@ -132,17 +142,20 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def manifest_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """job, sha256 of the listing that the jobs table would hold. As a listing is one value, jobs are of at most a
-    thousand documents here: a source's documents of the same thousand of ids."""
-    small = chunks(spark, sf_dir).withColumn("job", F.concat_ws("/", "job", F.floor(F.col("file_id") / 1000).cast("string")))
-    made = jobs.files_metadata(jobs.manifest(small, "job", "file_id"), "job", "file_id")
+    """job, sha256 of the listing that the jobs table holds of each job."""
+    made = jobs.files_metadata(jobs.manifest(chunks(spark, sf_dir), "job", "file_id"), "job", "file_id")
     return made.select("job", F.sha2(F.col("files_metadata"), 256).alias("sha256"))
 
 
+def _objects(rows: DataFrame) -> DataFrame:
+    """The bytes of each fingerprint. First keys are found without bytes, which are then fetched for those alone."""
+    firsts = dedup.first_occurrences(rows.drop("data"), ORDER)
+    return rows.join(firsts.select(*ORDER), ORDER, "left_semi").select("fingerprint", F.col("data").alias("chunk_data"))
+
+
 def _restored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunks(spark, sf_dir, with_data=True)
-    objects = rows.select("fingerprint", F.col("data").alias("chunk_data")).dropDuplicates(["fingerprint"])
-    return restore.restore_files(rows.drop("data"), objects, ["file_id"])
+    rows = cut_once(spark, sf_dir, with_data=True)
+    return restore.restore_files(rows.drop("data"), _objects(rows), ["file_id"])
 
 
 def restore_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,3 +195,50 @@ def stored_backup(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, part in (("even", ~odd), ("odd", odd)):
         engine.ingest(every.filter(part), F.timestamp_seconds(F.lit(0)), name)
     return engine.restore("mainline").select("job_id", "file_path", "complete", F.sha2("content", 256).alias("sha256"))
+
+
+def resent_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """job_id, file_path, versions, complete, sha256: all documents ingested, then all of them again, changed; what is
+    restored is the last version of each."""
+    from siltspark.engine import Engine
+
+    engine = Engine(spark, scratch_path(spark, "store"))
+    every = files(spark, sf_dir).select(F.lit("nightly").alias("job_id"), F.col("file_id").cast("string").alias("file_path"), "content")
+    changed = every.withColumn("content", F.concat(F.lit(b"second version\n"), "content"))
+    for name, part in (("first", every), ("second", changed)):
+        engine.ingest(part, F.timestamp_seconds(F.lit(0)), name)
+    held = engine.versions("nightly").groupBy("job_id", "file_path").agg(F.count("*").alias("versions"))
+    back = engine.restore("nightly").select("job_id", "file_path", "complete", F.sha2("content", 256).alias("sha256"))
+    return held.join(back, ["job_id", "file_path"])
+
+
+def verify_blake3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Put requests with BLAKE3 fingerprints, those of every third document with another one."""
+    rows = chunks(spark, sf_dir, EngineConfig(hash_alg="blake3"), with_data=True)
+    fp = F.when(F.col("file_id") % 3 == 0, F.reverse("fingerprint")).otherwise(F.col("fingerprint"))
+    requests = rows.select("file_id", "chunk_index", fp.alias("fingerprint"), F.col("data").alias("chunk_data"))
+    return store.put_results(requests, EngineConfig().node_id, True, "blake3").select("file_id", "chunk_index", "success", "storage_node_id", "error_message")
+
+
+def session_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The start and end message of a client that sends each document as a job of its own, in segments of 4,096 bytes."""
+    path, at = F.concat(F.coalesce("repo", F.lit("")), F.lit('/"'), F.col("doc_id").cast("string"), F.lit('".txt')), F.unix_seconds(F.coalesce("authored_at", F.timestamp_seconds(F.lit(0))))
+    docs = table(spark, sf_dir, "documents").filter(F.length("text") > 0).select("doc_id", job_start(EngineConfig(), path, at).alias("s"), job_end(path, F.ceil(F.octet_length("text") / 4096)).alias("e"))
+    return docs.select("doc_id", "s.*", "e.*")
+
+
+def streamed_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """job_id, events, bytes_processed: a stream of segments is ingested and its progress events are received as a stream."""
+    from siltspark.engine import Engine
+    from siltspark.sources.files import segment_stream
+    from siltspark.streaming.ingest import ingest_stream, progress_stream
+
+    landing, path, state, received, seen = (scratch_path(spark, x) for x in ("landing", "store", "stream", "received", "stream"))
+    cut = segments(files(spark, sf_dir).select(F.col("job").alias("job_id"), F.col("file_id").cast("string").alias("file_path"), "content"), ["job_id", "file_path"], segment_bytes=4096)
+    cut.withColumn("file_hash", F.lit(None).cast("string")).select(*[f.name for f in SEGMENT_SCHEMA.fields]).repartition(4, F.xxhash64("file_path", "offset")).write.parquet(landing)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    engine = Engine(spark, path)
+    ingest_stream(engine, segment_stream(spark, landing, 2), state).awaitTermination()
+    progress_stream(engine).writeStream.format("parquet").option("path", received).option("checkpointLocation", seen).trigger(availableNow=True).start().awaitTermination()
+    events = spark.read.parquet(received)
+    return events.groupBy("job_id").agg(F.count("*").alias("events"), F.max("bytes_processed").alias("bytes_processed"), F.count(F.when(F.col("line").startswith("["), 1)).alias("lines"))

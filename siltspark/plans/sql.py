@@ -9,10 +9,10 @@ FILES = "files AS (SELECT doc_id AS file_id, coalesce(source, '(none)') AS job,
 
 
 def _chunk_cte(source: str, name: str = "c", least: int = 64, most: int = 8192) -> str:
-    """CTEs ending in `name`: k, idx, off, size, fp of the chunks of source (k, text)."""
+    """CTEs ending in `name`: k, idx, off, size, fp of the chunks of source (k, h: the bytes in hex)."""
     return f"""
-{name}_b AS (SELECT k, text, hex(encode(text)) h, octet_length(encode(text)) n FROM {source}),
-{name}_e AS (SELECT k, list(e ORDER BY e) es FROM (SELECT k, h, unnest(range(4, n + 1)) e FROM {name}_b WHERE contains(text, repeat(chr(10), 4)) OR contains(h, '00000000'))
+{name}_b AS (SELECT k, h, length(h) // 2 AS n FROM {source}),
+{name}_e AS (SELECT k, list(e ORDER BY e) es FROM (SELECT k, h, unnest(range(4, n + 1)) e FROM {name}_b WHERE contains(h, '0A0A0A0A') OR contains(h, '00000000'))
   WHERE substr(h, 2 * (e - 4) + 1, 8) IN ('00000000', 'FFFFFFFF', '0A0A0A0A') GROUP BY k),
 {name}_s AS (SELECT k, n, coalesce(es, []::BIGINT[]) es FROM {name}_b LEFT JOIN {name}_e USING (k)),
 {name}_w AS (SELECT k, n, es, -1::BIGINT idx, 0::BIGINT off, 0::BIGINT nxt FROM {name}_s
@@ -24,7 +24,7 @@ def _chunk_cte(source: str, name: str = "c", least: int = 64, most: int = 8192)
 
 
 #: The chunks of the documents: job, k, idx, off, size, fp; and pos, the place in the order of jobs, files and chunks.
-CHUNKS = f"WITH RECURSIVE {FILES}, src AS (SELECT file_id AS k, text FROM files), {_chunk_cte('src')}, d AS (SELECT f.job, c.*, row_number() OVER (ORDER BY f.job, c.k, c.idx) AS pos FROM c JOIN files f ON f.file_id = c.k)"
+CHUNKS = f"WITH RECURSIVE {FILES}, src AS (SELECT file_id AS k, hex(encode(text)) AS h FROM files), {_chunk_cte('src')}, d AS (SELECT f.job, c.*, row_number() OVER (ORDER BY f.job, c.k, c.idx) AS pos FROM c JOIN files f ON f.file_id = c.k)"
 OUTCOMES = CHUNKS + ", o AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY fp ORDER BY pos) = 1 THEN 'STORED' ELSE 'DEDUPLICATED' END AS outcome FROM d)"
 PER_FILE = OUTCOMES + """, p AS (SELECT f.job, f.file_id, count(o.k) AS chunks, coalesce(sum(o.size), 0) AS b, coalesce(sum(o.size) FILTER (outcome <> 'STORED'), 0) AS dup
 FROM files f LEFT JOIN o ON o.k = f.file_id GROUP BY ALL)"""
@@ -32,13 +32,54 @@ WEAK = "list_sum(list_transform(range(1, length(fp) + 1), lambda i: ascii(substr
 FIRSTS = CHUNKS + f", u AS (SELECT fp, min(pos) AS pos, arg_min(k, pos) AS k FROM d GROUP BY fp), h AS (SELECT fp, pos, k, ({WEAK})::BIGINT AS w FROM u), s AS (SELECT w % 2500 AS bucket, arg_max(w, pos) AS slot, max(pos) AS last FROM h GROUP BY 1)"
 
 
+EVENTS = """WITH e AS (SELECT user_id % 50 AS stream_id, event_id AS seq, CASE event_id % 7 WHEN 0 THEN 'START' WHEN 1 THEN 'END' ELSE 'SEGMENT' END AS event_type, 'job-' || (event_id % 5) AS job, floor(epoch(ts))::BIGINT AS t,
+  CASE WHEN event_id % 2 = 0 THEN 'COMPLETED' ELSE 'FAILED' END AS status FROM events)"""
+FIRST_CHUNKS = f"""WITH c AS (SELECT {KEY.format('fingerprint')} AS fp, * EXCLUDE (fingerprint) FROM chunks), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fp
+  ORDER BY creation_time NULLS FIRST, size NULLS FIRST, storage_location NULLS FIRST, last_referenced_time NULLS FIRST) AS rn FROM c WHERE fp IS NOT NULL) WHERE rn = 1)"""
+#: Caches that evict nothing: a key is held from its put to its removal or a clear; a filter slot holds the last put's hash.
+CACHE = f"""WITH e AS (SELECT user_id % 50 AS cache, event_id AS seq, CASE WHEN event_id % 101 = 0 THEN 'clear' WHEN event_id % 13 = 0 THEN 'remove' WHEN event_id % 7 = 0 THEN 'contains' WHEN event_id % 11 = 0 THEN 'size' WHEN event_id % 2 = 0 THEN 'put' ELSE 'get' END AS op,
+  'k' || ((event_id * 7 + event_id // 8) % 23) AS key FROM events),
+h AS (SELECT *, ({WEAK.replace('fp', 'key')})::BIGINT AS h, coalesce(sum(CASE WHEN op = 'clear' THEN 1 ELSE 0 END) OVER (PARTITION BY cache ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS epoch FROM e),
+b AS (SELECT *, last_value(CASE op WHEN 'put' THEN 1 WHEN 'remove' THEN 0 END IGNORE NULLS) OVER (PARTITION BY cache, epoch, key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held,
+  last_value(CASE op WHEN 'put' THEN struct_pack(h := h, seq := seq) END IGNORE NULLS) OVER (PARTITION BY cache, h % 2500 ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS slot,
+  last_value(CASE op WHEN 'remove' THEN seq END IGNORE NULLS) OVER (PARTITION BY cache, h ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gone FROM h),
+d AS (SELECT *, CASE WHEN op = 'put' AND coalesce(held, 0) = 0 THEN 1 WHEN op = 'remove' AND held = 1 THEN -1 ELSE 0 END AS step FROM b),
+s AS (SELECT *, coalesce(sum(step) OVER (PARTITION BY cache, epoch ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM d)
+SELECT cache, seq, op, key, CASE WHEN op IN ('get', 'remove') THEN coalesce(held, 0) WHEN op = 'size' THEN n WHEN op = 'contains' THEN CASE WHEN slot.h = h AND (gone IS NULL OR gone < slot.seq) THEN 1 ELSE 0 END END::BIGINT AS answer FROM s"""
+
+
+def _scalar(node: str, field: str) -> str:
+    """A string's content or a number's text."""
+    return f"CASE json_type({node}, '$.{field}') WHEN 'NULL' THEN 'null' WHEN 'OBJECT' THEN NULL WHEN 'ARRAY' THEN NULL ELSE json_extract_string({node}, '$.{field}') END"
+
+
+#: The files of the listings by job and state of its text, numbered in order of appearance: the places of keys and elements on the way to a file.
+LISTED = """WITH RECURSIVE raw AS (SELECT DISTINCT job_id, md5(files_metadata) AS state, files_metadata AS t FROM backup_jobs WHERE files_metadata IS NOT NULL AND json_valid(files_metadata)),
+once AS (SELECT job_id, state, CASE WHEN json_type(t) = 'VARCHAR' THEN json_extract_string(t, '$') ELSE t END AS t FROM raw),
+doc AS (SELECT job_id, state, t::JSON AS j FROM once WHERE json_valid(t)),
+tree AS (SELECT job_id, state, [list_position(json_keys(j), 'tree')] AS way, json_extract_string(j, '$.tree.name') AS path, json_extract(j, '$.tree') AS f FROM doc WHERE json_type(j) = 'OBJECT' AND json_type(j, '$.tree') = 'OBJECT'
+  UNION ALL SELECT job_id, state, way || [place, n], path || '/' || json_extract_string(s, '$.name'), s FROM (SELECT job_id, state, way, path, list_position(json_keys(f), 'folders') AS place, unnest(from_json(json_extract(f, '$.folders'), '["JSON"]')) AS s, generate_subscripts(from_json(json_extract(f, '$.folders'), '["JSON"]'), 1) AS n FROM tree WHERE json_type(f, '$.folders') = 'ARRAY')),
+lists AS (SELECT job_id, state, CASE WHEN json_type(j) = 'ARRAY' THEN 0 ELSE list_position(json_keys(j), 'files') END AS place, from_json(CASE WHEN json_type(j) = 'ARRAY' THEN j ELSE json_extract(j, '$.files') END, '["JSON"]') AS l FROM doc WHERE json_type(j) = 'ARRAY' OR json_type(j) = 'OBJECT' AND json_type(j, '$.files') = 'ARRAY'),
+listed AS (SELECT job_id, state, place, unnest(l) AS f, generate_subscripts(l, 1) AS n FROM lists),
+maps AS (SELECT job_id, state, list_position(json_keys(j), 'files') AS place, map_entries(json_extract(j, '$.files')::MAP(VARCHAR, JSON)) AS l FROM doc WHERE json_type(j) = 'OBJECT' AND json_type(j, '$.files') = 'OBJECT'),
+named AS (SELECT job_id, state, place, unnest(l) AS m, generate_subscripts(l, 1) AS n FROM maps),
+found AS (SELECT job_id, state, [place, n] AS way, json_extract_string(f, '$.path') AS file_path, f FROM listed
+  UNION ALL SELECT job_id, state, [place, n], m.key, m.value FROM named
+  UNION ALL SELECT job_id, state, way || [place, n], path || '/' || json_extract_string(s, '$.name'), s FROM (SELECT job_id, state, way, path, list_position(json_keys(f), 'files') AS place, unnest(from_json(json_extract(f, '$.files'), '["JSON"]')) AS s, generate_subscripts(from_json(json_extract(f, '$.files'), '["JSON"]'), 1) AS n FROM tree WHERE json_type(f, '$.files') = 'ARRAY')),
+file AS (SELECT job_id, state, row_number() OVER (PARTITION BY job_id, state ORDER BY way) - 1 AS file_no, file_path, f FROM found WHERE json_type(f) = 'OBJECT')
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "file_segments": f"WITH {FILES}, b AS (SELECT file_id, hex(encode(text)) h, octet_length(encode(text)) n FROM files), r AS (SELECT *, unnest(range(0, n, 4096)) AS o FROM b) "
         "SELECT file_id, n AS file_size, o AS \"offset\", o + 4096 >= n AS is_last_segment, sha256(unhex(substr(h, 2 * o + 1, 8192))) AS sha256 FROM r",
         "chunk_documents": CHUNKS + ' SELECT k AS file_id, idx::INTEGER AS chunk_index, off AS "offset", size, fp AS fingerprint FROM d',
-        "chunk_boundaries": f"WITH RECURSIVE src AS (SELECT doc_id AS k, replace(coalesce(text, ''), chr(10), repeat(chr(10), 4)) AS text FROM documents), {_chunk_cte('src')} "
+        "chunk_boundaries": f"WITH RECURSIVE src AS (SELECT doc_id AS k, hex(encode(replace(coalesce(text, ''), chr(10), repeat(chr(10), 4)))) AS h FROM documents), {_chunk_cte('src')} "
         'SELECT k AS file_id, idx::INTEGER AS chunk_index, off AS "offset", size, fp AS fingerprint FROM c',
+        "chunk_blockwise": f"WITH RECURSIVE {FILES}, w AS (SELECT file_id, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM files), cut AS (SELECT file_id, h, unnest(range(0, n, 1024)) AS b FROM w), "
+        f"src AS (SELECT {{'f': file_id, 'b': b}} AS k, substr(h, 2 * b + 1, 2048) AS h FROM cut), {_chunk_cte('src', most=1024)} "
+        'SELECT k.f AS file_id, (row_number() OVER (PARTITION BY k.f ORDER BY k.b, idx) - 1)::INTEGER AS chunk_index, k.b + off AS "offset", size, fp AS fingerprint FROM c',
         "chunk_listing": CHUNKS + " SELECT k AS file_id, idx::INTEGER AS chunk_index, size, substr(fp, 1, 16) AS fingerprint FROM d",
         "dedup_outcomes": OUTCOMES + " SELECT k AS file_id, idx::INTEGER AS chunk_index, outcome FROM o",
         "unique_chunks": CHUNKS + " SELECT fp AS fingerprint, 'minio://dedupe-chunks/' || fp AS storage_location, arg_min(size, pos) AS size FROM d GROUP BY fp",
@@ -64,13 +105,38 @@ def oracle_sql() -> dict[str, str]:
         "CASE WHEN msg IS NOT NULL THEN 'InvalidArgument' END AS error_code, msg AS error_message FROM m",
         "chunk_lookup": CHUNKS + " SELECT fp AS fingerprint, true AS found, size, count(*) AS requests FROM d GROUP BY ALL UNION ALL SELECT substr(fp, 1, 32), false, NULL, count(*) FROM d GROUP BY 1",
         "manifest": CHUNKS + ' SELECT job, k AS file_id, (sum(size) OVER (PARTITION BY k))::BIGINT AS file_size, idx::INTEGER AS position, fp AS fingerprint, off AS "offset", size FROM d',
-        "manifest_json": CHUNKS + ", m AS (SELECT job || '/' || (k // 1000) AS job, k AS path, sum(size)::BIGINT AS size, list(struct_pack(fingerprint := fp, \"offset\" := off, size := size) ORDER BY idx) AS chunks FROM d GROUP BY ALL) "
+        "manifest_json": CHUNKS + ", m AS (SELECT job, k AS path, sum(size)::BIGINT AS size, list(struct_pack(fingerprint := fp, \"offset\" := off, size := size) ORDER BY idx) AS chunks FROM d GROUP BY ALL) "
         "SELECT job, sha256(to_json(struct_pack(files := list(struct_pack(path := path, size := size, chunks := chunks) ORDER BY path)))::VARCHAR) AS sha256 FROM m GROUP BY job",
         "restore_roundtrip": f"WITH {FILES} SELECT file_id, true AS ok, octet_length(encode(text)) AS size, sha256(encode(text)) AS sha256 FROM files",
         "restore_segments": f"WITH {FILES}, b AS (SELECT file_id, hex(encode(text)) h, octet_length(encode(text)) n FROM files), r AS (SELECT *, unnest(range(0, n, 4096)) AS o FROM b) "
         "SELECT 'restore-0' AS restore_job_id, file_id, o AS \"offset\", o + 4096 >= n AS is_last_segment, sha256(unhex(substr(h, 2 * o + 1, 8192))) AS sha256 FROM r",
         "streamed_files": f"WITH {FILES} SELECT job AS job_id, file_id::VARCHAR AS file_path, octet_length(encode(text)) AS size, sha256(encode(text)) AS sha256 FROM files WHERE text <> ''",
         "stored_backup": f"WITH {FILES} SELECT job AS job_id, file_id::VARCHAR AS file_path, true AS complete, sha256(encode(text)) AS sha256 FROM files WHERE text <> '' AND job = 'mainline'",
+        "resent_files": f"WITH {FILES} SELECT 'nightly' AS job_id, file_id::VARCHAR AS file_path, CASE WHEN text = '' THEN 1 ELSE 2 END::BIGINT AS versions, true AS complete, sha256(encode('second version' || chr(10) || text)) AS sha256 FROM files",
+        "verify_blake3": CHUNKS + " SELECT k AS file_id, idx::INTEGER AS chunk_index, k % 3 <> 0 AS success, CASE WHEN k % 3 <> 0 THEN 'storage-node-1' END AS storage_node_id, CASE WHEN k % 3 = 0 THEN 'fingerprint does not match chunk_data' END AS error_message FROM d",
+        "session_messages": "WITH m AS (SELECT doc_id, text, coalesce(repo, '') || '/\"' || doc_id || '\".txt' AS path, coalesce(floor(epoch(authored_at))::BIGINT, 0) AS t FROM documents WHERE text <> '') "
+        "SELECT doc_id, 'test-client' AS client_id, 'backup-' || t AS backup_job_id, 'default-policy' AS backup_policy_id, '' AS encryption_key_id, t AS timestamp, 'filesystem' AS source_type, to_json({'path': path})::VARCHAR AS source_details, "
+        "'COMPLETED' AS status, 'Backed up ' || path || ' in ' || ((octet_length(encode(text)) + 4095) // 4096) || ' segments' AS summary FROM m",
+        "streamed_progress": f"WITH {FILES} SELECT job AS job_id, count(*) AS events, sum(octet_length(encode(text)))::BIGINT AS bytes_processed, count(*) AS lines FROM files WHERE text <> '' GROUP BY job",
+        "job_events": EVENTS + ", g AS (SELECT job, min(t) FILTER (event_type = 'START') AS a, max(t) FILTER (event_type = 'END') AS b, max(struct_pack(t := t, s := status)) FILTER (event_type = 'END') AS l FROM e WHERE event_type <> 'SEGMENT' GROUP BY job) "
+        "SELECT job AS backup_job_id, to_timestamp(a) AS start_time, to_timestamp(b) AS end_time, coalesce(l.s, 'INITIATED') AS status FROM g",
+        "chunk_metadata": FIRST_CHUNKS + f", a AS (SELECT DISTINCT {KEY.format('fingerprint')} AS fp FROM chunk_arrivals) SELECT a.fp AS fingerprint, size, creation_time FROM a LEFT JOIN f USING (fp) WHERE a.fp IS NOT NULL",
+        "touched_chunks": FIRST_CHUNKS + f", a AS (SELECT {KEY.format('fingerprint')} AS fp, max(observed_at) AS met FROM chunk_arrivals GROUP BY 1) SELECT f.fp AS fingerprint, greatest(last_referenced_time, met) AS last_referenced_time FROM f LEFT JOIN a USING (fp)",
+        "object_exists": f"WITH o AS (SELECT {KEY.format('object_key')} AS fp, max(size) AS size FROM chunk_store GROUP BY 1), c AS (SELECT DISTINCT {KEY.format('fingerprint')} AS fp FROM chunks) SELECT c.fp AS fingerprint, o.fp IS NOT NULL AS exists, size FROM c LEFT JOIN o USING (fp)",
+        "created_jobs": "WITH s AS (SELECT * REPLACE (CASE WHEN floor(epoch(start_time))::BIGINT % 2 = 0 THEN start_time END AS start_time) FROM backup_jobs), l AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY end_time DESC NULLS LAST, client_id DESC NULLS LAST, "
+        "backup_policy_id DESC NULLS LAST, start_time DESC NULLS LAST, status DESC NULLS LAST) AS rn FROM s) SELECT job_id, client_id, coalesce(start_time, TIMESTAMPTZ '2020-01-01 00:00:00+00') AS start_time, status FROM l WHERE rn = 1",
+        "jobs_of_client": "SELECT job_id, status, start_time FROM backup_jobs WHERE client_id = 'test-client'",
+        "jobs_of_status": "SELECT job_id, client_id, start_time FROM backup_jobs WHERE status = 'FAILED'",
+        "cache_facade": CACHE,
+        "scanned_files": "SELECT n_name AS name, octet_length(encode(v)) + 1 AS size, sha256(v || chr(10)) AS sha256 FROM (SELECT n_name, n_name || ' of region ' || n_regionkey AS v FROM nation)",
+        "p4_files": LISTED + f"SELECT job_id, state, file_no, file_path, {_scalar('f', 'size')} AS size_text, CASE WHEN json_type(f, '$.chunks') = 'ARRAY' THEN json_array_length(f, '$.chunks') ELSE 0 END::BIGINT AS n_chunks FROM file",
+        "p4_chunks": LISTED + ", part AS (SELECT * EXCLUDE (f), from_json(json_extract(f, '$.chunks'), '[\"JSON\"]') AS l FROM file WHERE json_type(f, '$.chunks') = 'ARRAY'), "
+        "piece AS (SELECT * EXCLUDE (l), unnest(range(0, len(l))) AS chunk_no, unnest(l) AS e FROM part) "
+        "SELECT job_id, state, file_no, file_path, chunk_no, CASE json_type(e) WHEN 'VARCHAR' THEN json_extract_string(e, '$') WHEN 'OBJECT' THEN CASE WHEN json_type(e, '$.fingerprint') = 'VARCHAR' THEN json_extract_string(e, '$.fingerprint') END END AS fingerprint_text, "
+        f"CASE WHEN json_type(e) = 'OBJECT' AND json_type(e, '$.fp') = 'VARCHAR' THEN json_extract_string(e, '$.fp') END AS fp_text, {_scalar('e', 'offset')} AS offset_text, {_scalar('e', 'size')} AS size_text FROM piece",
+        "p4_access": LISTED + ", part AS (SELECT * EXCLUDE (f), from_json(json_extract(f, '$.acl'), '[\"JSON\"]') AS l FROM file WHERE json_type(f, '$.acl') = 'ARRAY'), "
+        "piece AS (SELECT * EXCLUDE (l), unnest(range(0, len(l))) AS entry_no, unnest(l) AS e FROM part) "
+        f"SELECT job_id, state, file_no, file_path, entry_no, {_scalar('e', 'who')} AS who, CASE WHEN json_type(e, '$.perms') = 'ARRAY' THEN array_to_string(from_json(json_extract(e, '$.perms'), '[\"VARCHAR\"]'), ',') END AS perms FROM piece",
         "update_chunks": f"WITH c AS (SELECT {KEY.format('fingerprint')} AS fp, * EXCLUDE (fingerprint) FROM chunks), "
         "f AS (SELECT fp, size, storage_location FROM (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY creation_time NULLS FIRST, size NULLS FIRST, storage_location NULLS FIRST) AS rn FROM c WHERE fp IS NOT NULL) WHERE rn = 1), "
         f"s AS (SELECT {KEY.format('object_key')} AS fp, max(size) AS size FROM chunk_store GROUP BY 1) "
@@ -79,7 +145,7 @@ def oracle_sql() -> dict[str, str]:
         "recent_chunks": "SELECT fingerprint, size, last_referenced_time FROM chunks WHERE last_referenced_time < TIMESTAMPTZ '2025-01-01 00:00:00+00'",
         "constraints": " UNION ALL ".join(f"SELECT '{c} not null' AS \"constraint\", count(*) FILTER ({c} IS NULL) AS rows FROM chunks" for c in ("fingerprint", "storage_location", "size", "creation_time", "last_referenced_time"))
         + " UNION ALL SELECT 'fingerprint unique', count(fingerprint) - count(DISTINCT fingerprint) FROM chunks",
-        "session_violations": """WITH e AS (SELECT user_id % 50 AS stream_id, event_id AS seq, CASE event_id % 7 WHEN 0 THEN 'START' WHEN 1 THEN 'END' ELSE 'SEGMENT' END AS event_type, 'job-' || (event_id % 5) AS job, floor(epoch(ts))::BIGINT AS t FROM events),
+        "session_violations": EVENTS + """,
 v AS (SELECT *, last_value(CASE WHEN event_type = 'START' THEN job END IGNORE NULLS) OVER w AS active, last_value(CASE WHEN event_type = 'START' THEN t END IGNORE NULLS) OVER w AS begun,
   last_value(CASE event_type WHEN 'START' THEN true WHEN 'END' THEN false END IGNORE NULLS) OVER w AS open FROM e WINDOW w AS (PARTITION BY stream_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 x AS (SELECT stream_id, seq, event_type, CASE WHEN event_type <> 'START' AND active IS NULL THEN 1 WHEN event_type = 'END' AND job <> active THEN 2 WHEN event_type = 'START' AND coalesce(open, false) THEN 3 WHEN t - begun > 1800 THEN 4 END AS c FROM v)
