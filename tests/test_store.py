@@ -135,3 +135,66 @@ def test_stream_equals_batch(spark):
     ingest_stream(e, segment_stream(spark, landing, 1), scratch_path(spark, "state")).awaitTermination()
     got = {r["file_path"]: hashlib.sha256(bytes(r["content"])).hexdigest() for r in e.restore("j").collect()}
     assert got == {p: hashlib.sha256(b).hexdigest() for p, b in bodies.items()}
+    from siltspark.streaming.ingest import progress_table
+
+    events = progress_table(e).read()
+    assert events.count() == len(bodies) and events.agg(F.max("bytes_processed")).first()[0] == sum(map(len, bodies.values()))
+
+
+def test_resent_files_and_remembered_keys(spark):
+    e = Engine(spark, scratch_path(spark, "t"))
+    e.ingest(files(spark, ("j", "a", b"one" * 4000), ("j", "b", b"stays")), F.lit(T0), "v1")
+    e.ingest(files(spark, ("j", "a", b"another, shorter")), F.lit(T0), "v2")
+    assert {r["file_path"]: bytes(r["content"]) for r in e.restore("j").collect()} == {"a": b"another, shorter", "b": b"stays"}
+    assert rows(e.versions("j"), "file_path", "version", "size") == [("a", 1, 12000), ("a", 2, 16), ("b", 1, 5)]
+    assert bytes(e.restore("j", ["a"], version=1).first()["content"]) == b"one" * 4000
+    lru = Engine(spark, scratch_path(spark, "t"), EngineConfig(mode="lru", lru_capacity=2))
+    first = lru.ingest(files(spark, ("j", "a", b"x"), ("j", "b", b"y"), ("j", "c", b"z")))
+    assert rows(first, "file_path", "outcome") == [("a", "STORED"), ("b", "STORED"), ("c", "STORED")]
+    again = lru.ingest(files(spark, ("k", "a", b"z"), ("k", "b", b"x")))
+    assert rows(again, "file_path", "outcome") == [("a", "DEDUPLICATED"), ("b", "STORED")]
+
+
+def test_blake3_store_verifies_with_its_own_hash(spark):
+    e = Engine(spark, scratch_path(spark, "t"), EngineConfig(hash_alg="blake3"))
+    e.ingest(files(spark, ("j", "a", b"hello")), F.lit(T0))
+    assert bytes(e.restore("j").first()["content"]) == b"hello" and e.store.verify_fingerprints().count() == 0
+    wrong = store.put_results(spark.createDataFrame([("ab", bytearray(b"abc"))], "fingerprint string, chunk_data binary"), "n", True, "blake3").first()
+    assert not wrong["success"]
+
+
+def test_many_commits_stay_one_scan(spark):
+    t = store.VersionedTable(spark, scratch_path(spark, "t"), "a int, b string", ["b"], merge_at=4)
+    for i in range(14):
+        t.append(spark.createDataFrame([(i, "05")], "a int, b string"))
+    assert rows(t.read()) == sorted(((i, "05") for i in range(14)), key=repr)
+    assert len(t.entry()["folders"]) <= 6 and t.read()._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert t.vacuum() > 0 and t.read().count() == 14
+
+
+def test_touches_and_job_defaults(spark):
+    s = store.ChunkStore(spark, scratch_path(spark, "t"))
+    out = spark.createDataFrame([("f1", 3, "STORED", 1), ("f2", 4, "STORED", 2), ("f1", 3, "DEDUPLICATED", 3)], "fingerprint string, size long, outcome string, n int")
+    s.insert_chunks(out, ["n"], F.timestamp_seconds(F.lit(10)))
+    s.touch(out, F.timestamp_seconds(F.lit(99)))
+    seen = lambda: rows(s.metadata().select("fingerprint", F.unix_seconds("last_referenced_time").alias("t")))
+    assert seen() == [("f1", 99), ("f2", 10)]
+    s.fold_touches()
+    assert seen() == [("f1", 99), ("f2", 10)] and s.touches.read().count() == 0
+    s.create_jobs(spark.createDataFrame([("a", "c1", "FAILED"), ("b", "c2", "FAILED")], "job_id string, client_id string, status string"), F.timestamp_seconds(F.lit(7)))
+    assert rows(s.find_jobs(status="FAILED", client_id="c1").select("job_id", F.unix_seconds("start_time"))) == [("a", 7)]
+    assert s.exists(spark.createDataFrame([(None,), ("f1",)], "fingerprint string")).filter("exists").count() == 0
+
+
+def test_command_line(spark, tmp_path, monkeypatch):
+    from siltspark import cli
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.bin").write_bytes(random_bytes(9000, 3))
+    monkeypatch.setenv("SILTSPARK_STORE", f"file://{tmp_path}/store")
+    done = cli.run(spark, cli.parser().parse_args(["backup", "--file", str(tmp_path / "in"), "--job", "j1"]))
+    assert (done["files_processed"], done["bytes_processed"]) == (1, 9000)
+    done = cli.run(spark, cli.parser().parse_args(["restore", "--job", "j1", "--to", f"file://{tmp_path}/out"]))
+    assert done["restored"] == 1 and done["incomplete"] == 0
+    assert bytes(spark.read.parquet(f"file://{tmp_path}/out").first()["content"]) == random_bytes(9000, 3)
+    assert EngineConfig.from_env({"NODE_ID": "n7", "SILTSPARK_STORE": "p"}, mode="lru") == EngineConfig(node_id="n7", store_path="p", mode="lru")
