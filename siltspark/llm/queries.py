@@ -100,12 +100,23 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oversized(pieces).select("job_id", "file_path")
 
 
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pieces, with the hash of their bytes in place of these."""
+    pieces = split_files(table(spark, sf_dir, "file_segments"))
+    return materialize(pieces.select("job_id", "file_path", "offset", "size", "repeated", "cut", F.sha2("data", 256).alias("sha256")), "pieces")
+
+
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """job_id, file_path, offset, size, repeated, cut, sha256 of the pieces of the oversized files."""
-    segments = table(spark, sf_dir, "file_segments")
-    large = materialize(oversized(split_files(segments, with_data=False)).select("job_id", "file_path"), "oversized")
-    pieces = split_files(segments.join(large, ["job_id", "file_path"], "left_semi"))
-    return pieces.select("job_id", "file_path", "offset", "size", "repeated", "cut", F.sha2("data", 256).alias("sha256"))
+    pieces = _pieces(spark, sf_dir)
+    return pieces.join(oversized(pieces).select("job_id", "file_path"), ["job_id", "file_path"], "left_semi")
+
+
+def p3_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """job_id, file_path, covered, largest_fits of the oversized files: the bytes their pieces cover, and whether all are
+    within the limit."""
+    by_file = p3_pieces(spark, sf_dir).groupBy("job_id", "file_path")
+    return by_file.agg(F.sum(F.col("size") - F.col("repeated")).alias("covered"), (F.max("size") <= 8192).alias("largest_fits"))
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +142,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_outcomes, p3_found, p3_pieces, p5_found, p5_error_rate, p6_ids, p7_mix, p7_shares, p8_found, p8_stats)}
+    return {f.__name__: f for f in (p1_found, p1_outcomes, p3_found, p3_pieces, p3_cover, p5_found, p5_error_rate, p6_ids, p7_mix, p7_shares, p8_found, p8_stats)}
 
 
 #: The digits of a fingerprint in DuckDB, for a column {0}.
@@ -151,13 +162,17 @@ m AS (SELECT a AS earlier, b AS later FROM p JOIN n na ON na.id = a JOIN n nb ON
 """
 
 
+_P3 = """WITH s AS (SELECT job_id, file_path, "offset" AS a, "offset" + octet_length(data) AS b FROM file_segments WHERE octet_length(data) > 0 AND "offset" >= 0 AND job_id IS NOT NULL AND file_path IS NOT NULL),
+m AS (SELECT *, coalesce(max(b) OVER (PARTITION BY job_id, file_path ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS top FROM s)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _P1 + "SELECT min(earlier) AS earlier_id, later AS later_id FROM (SELECT * FROM e UNION ALL SELECT * FROM m) GROUP BY later",
         "p1_outcomes": _P1 + "SELECT id AS occurrence_id, CASE WHEN id IN (SELECT later FROM e) THEN 'exact' WHEN id IN (SELECT later FROM m) THEN 'near' ELSE 'new' END AS outcome FROM f",
-        "p3_found": """WITH s AS (SELECT job_id, file_path, "offset" AS a, "offset" + octet_length(data) AS b FROM file_segments WHERE octet_length(data) > 0 AND "offset" >= 0 AND job_id IS NOT NULL AND file_path IS NOT NULL),
-m AS (SELECT *, coalesce(max(b) OVER (PARTITION BY job_id, file_path ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS top FROM s)
-SELECT job_id, file_path FROM m GROUP BY job_id, file_path HAVING sum(greatest(b - greatest(a, top), 0)) > 8192""",
+        "p3_found": _P3 + "SELECT job_id, file_path FROM m GROUP BY job_id, file_path HAVING sum(greatest(b - greatest(a, top), 0)) > 8192",
+        "p3_cover": _P3 + "SELECT job_id, file_path, sum(greatest(b - greatest(a, top), 0))::BIGINT AS covered, true AS largest_fits FROM m GROUP BY job_id, file_path HAVING sum(greatest(b - greatest(a, top), 0)) > 8192",
         "p5_found": _P5 + "SELECT arrival_no FROM s WHERE seen",
         "p5_error_rate": _P5 + "SELECT count(*) AS rows, count(*) FILTER (k IS NULL) AS without_key, count(*) FILTER (seen) AS seen, 0::BIGINT AS wrong, 0.0::DOUBLE AS error_rate FROM s",
     }

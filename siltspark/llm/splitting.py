@@ -3,9 +3,11 @@
 Segments are put together by position, then cut where a rolling hash of the bytes says so, each such landmark moved to
 the nearest natural boundary; an edit changes the pieces around it and leaves the others as they were.
 
-A file may be any size. It is handled in windows of WINDOW bytes, each with some bytes of its neighbours. The first
-landmark after a window's start is a cut for both neighbours, found by each alone, so windows are cut independently and
-the pieces still join. Within a partition windows come one after the other, in order, and only one is held."""
+A file may be any size. Sparse landmarks, one in some 64 KiB, are joints: wherever one lies, a piece ends, so what
+lies between two joints is cut the same whatever comes before or after. A file is handled in windows of WINDOW bytes.
+A window cuts the stretches that begin at joints inside it, up to the first joint of the next window, which it sees
+too, so windows are cut independently and the pieces still join. Only a window without any joint (long repetitions)
+begins at its first landmark instead. Within a partition windows come one after the other and only one is held."""
 
 from __future__ import annotations
 
@@ -18,8 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of a window, and of its neighbours that it sees before and after.
-WINDOW, BEFORE, AFTER = 1 << 20, 4096, 65536
+#: Bytes of a window, and what it sees before it and after it: the next window, and enough to place joints in that.
+WINDOW, BEFORE, AFTER = 1 << 20, 1 << 16, (1 << 20) + (1 << 16)
+#: A joint is a place where that many bits of the rolling hash are zero, that far from another before it.
+JOINT_BITS, JOINT_GAP = 16, 1 << 14
 #: Bytes that the rolling hash looks at.
 REACH = 32
 _GEAR = np.random.default_rng(20240101).integers(0, 1 << 63, 256, dtype=np.int64).astype(np.uint64)
@@ -41,7 +45,7 @@ class SplitRule:
     near: int = 512
 
     def __post_init__(self) -> None:
-        if not 0 <= self.overlap <= min(self.limit // 4, BEFORE // 2) or not 1 <= self.least <= self.limit // 2 or self.limit < 64:
+        if not 0 <= self.overlap <= min(self.limit // 4, 2048) or not 1 <= self.least <= self.limit // 2 or self.limit < 64:
             raise ValueError("need overlap <= limit / 4 and <= 2048, 1 <= least <= limit / 2, limit >= 64")
 
 
@@ -208,9 +212,9 @@ class _Window:
         self.there[at:need] = True
 
     def _anchor(self, at: int, marks: np.ndarray, run_end: int, bounds: Boundaries) -> int:
-        """Where the window that starts at `at` begins to cut, as both neighbours see it: at the first landmark that
-        lies at least the hash's reach and at most AFTER bytes on, snapped forward, else at the first character."""
-        high = min(run_end, at + AFTER - 1024)
+        """Where a window without joints that starts at `at` begins to cut: at the first landmark after the hash's reach,
+        snapped forward, else at the first character."""
+        high = min(run_end, at + (1 << 16) - 1024)
         i = np.searchsorted(marks, at + REACH)
         if i < len(marks) and marks[i] < high:
             mark = int(marks[i])
@@ -224,11 +228,26 @@ class _Window:
                 return p
         return at
 
+    def _joints(self, hashes: np.ndarray, begins: int, ends: int, bounds: Boundaries, rule: SplitRule) -> list[int]:
+        """Joints of a run, each at the nearest natural boundary. begins, ends: where the run does, -1 if it goes on."""
+        raw = np.flatnonzero(hashes >> np.uint64(64 - JOINT_BITS) == 0) + 1
+        gap = max(JOINT_GAP, 2 * rule.limit)
+        before = np.r_[begins if begins >= 0 else -gap, raw[:-1]] if len(raw) else raw
+        raw = raw[(raw - before >= gap) & ((raw + gap <= ends) if ends >= 0 else True)]
+        out = []
+        for mark in raw.tolist():
+            within = mark - rule.near, min(mark + rule.near, len(hashes) - 1)
+            cut = _nearest(bounds.paragraphs, mark, *within)
+            for places in bounds.lists:
+                cut = cut if cut is not None else _nearest(places, mark, *within)
+            out.append(cut if cut is not None else bounds.character(mark, mark - rule.near))
+        return out
+
     def pieces(self, rule: SplitRule) -> Iterator[tuple]:
         edge = np.flatnonzero(np.diff(np.r_[False, self.there, False]))
         start, stop = self.number * WINDOW - self.low, (self.number + 1) * WINDOW - self.low
         for lo, hi in zip(edge[::2], edge[1::2]):
-            if hi <= start or lo >= stop + AFTER:
+            if hi <= start or lo >= stop:
                 continue
             run = self.data[lo:hi]
             if start <= lo < stop and hi <= stop and hi - lo <= rule.limit:
@@ -236,17 +255,27 @@ class _Window:
                 continue
             bounds = Boundaries(run)
             # The hash is taken from the run's own bytes; marks follow the byte that completes them.
-            marks = np.flatnonzero(rolling_hash(run) >> np.uint64(64 - rule.bits) == 0) + 1
-            begins = lo >= start or (self.number == 0)
-            first = 0 if begins else self._anchor(start - lo, marks, hi - lo, bounds)
-            if begins and lo >= stop:
-                continue  # the next window's own stretch
-            last = hi - lo if hi <= stop else self._anchor(stop - lo, marks, hi - lo, bounds)
-            at = first
-            for end in cut_places(run, first, last, rule, marks, bounds, bool(begins)) if last > first else []:
-                head = at if at == first and begins else bounds.head(max(0, at - rule.overlap))
-                yield int(self.low + lo + head), int(end - head), int(at - head), "end" if end == hi - lo else bounds.name(end), run[head:end].tobytes()
-                at = end
+            hashes = rolling_hash(run)
+            marks = np.flatnonzero(hashes >> np.uint64(64 - rule.bits) == 0) + 1
+            # A run that reaches the edge of what the window sees goes on there.
+            begun = lo >= start or self.number == 0
+            goes_on = hi >= stop + AFTER
+            joints = self._joints(hashes, 0 if lo > 0 or self.number == 0 else -1, -1 if goes_on else len(run), bounds, rule)
+
+            def of_window(low: int, high: int) -> list[int]:
+                """Joints in the window [low, high), both relative to the run; one without any has its anchor."""
+                found = [j for j in joints if low <= j < high]
+                return found or ([self._anchor(low, marks, len(run), bounds)] if 0 < low and high <= len(run) else [])
+
+            own, after = of_window(start - lo, stop - lo), of_window(stop - lo, stop - lo + WINDOW)
+            heads = ([0] if begun else []) + [j for j in own if j > 0]
+            last = after[0] if after else len(run)
+            for first, end_at in zip(heads, [*heads[1:], last]):
+                at = first
+                for end in cut_places(run, first, end_at, rule, marks, bounds, begun and first == 0):
+                    head = at if at == 0 and begun else bounds.head(max(0, at - rule.overlap))
+                    yield int(self.low + lo + head), int(end - head), int(at - head), "end" if end == len(run) and not goes_on else bounds.name(end), run[head:end].tobytes()
+                    at = end
 
 
 def split_files(segments: DataFrame, rule: SplitRule | None = None, with_data: bool = True) -> DataFrame:
