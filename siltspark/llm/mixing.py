@@ -18,6 +18,8 @@ from siltspark.session import default_parallelism, materialize
 
 #: Sources for which overlaps are followed, as bits of a long.
 MOST_SOURCES = 60
+#: Patterns (sets of sources that some text occurs in) beyond which the flow is not attempted on the driver.
+MOST_PATTERNS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -125,15 +127,16 @@ def mix_sources(documents: DataFrame, targets: DataFrame, tokenizer, total: int
     smallest doc_id of that source, so that no document is used more than its source's max_repeats times. Null, empty
     and token-less texts and documents whose source is null or has no target are not used. targets: source,
     target_share, max_repeats, a list the driver reads (at most MOST_SOURCES sources); rows with a null or no positive
-    share or repeats have no quota, later rows of a repeated label are ignored. The same seed gives the same selection.
+    share or repeats have no quota; of rows of one label the one with the largest share, then repeats, counts. The same
+    seed gives the same selection.
 
     A source's actual tokens differ from its flow by less than one text for each pattern that serves it. On the driver
-    are only token sums by pattern: at most 2 ** sources, and no more than occur."""
+    are only token sums by pattern: no more than occur, and with more than MOST_PATTERNS the mix is refused."""
     spark = documents.sparkSession
     listed: dict[str, Source] = {}
-    for r in targets.select(source_label("source").alias("source"), "target_share", "max_repeats").limit(1001).collect():
-        if r["source"] is not None and r["source"] not in listed:
-            listed[r["source"]] = Source(r["source"], max(0.0, r["target_share"] or 0.0), max(0, r["max_repeats"] or 0))
+    labelled = targets.select(source_label("source").alias("source"), F.struct("target_share", "max_repeats").alias("t")).filter(F.col("source").isNotNull())
+    for r in labelled.groupBy("source").agg(F.max("t").alias("t")).limit(MOST_SOURCES + 1).collect():
+        listed[r["source"]] = Source(r["source"], max(0.0, r["t"]["target_share"] or 0.0), max(0, r["t"]["max_repeats"] or 0))
     sources = sorted(listed.values(), key=lambda s: s.name)
     if len(sources) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
@@ -150,7 +153,10 @@ def mix_sources(documents: DataFrame, targets: DataFrame, tokenizer, total: int
     items = materialize(items.withColumn("at", order).withColumn("slot", F.pmod(F.shiftright(F.col("at"), 32), F.lit(slots)).cast("int")), "items")
 
     by_slot = materialize(items.groupBy("mask", "slot").agg(F.sum("tokens").alias("tokens")), "slots")
-    patterns = {r["mask"]: r["n"] for r in by_slot.groupBy("mask").agg(F.sum("tokens").alias("n")).collect()}
+    sums = by_slot.groupBy("mask").agg(F.sum("tokens").alias("n")).limit(MOST_PATTERNS + 1).collect()
+    if len(sums) > MOST_PATTERNS:
+        raise ValueError(f"texts occur in more than {MOST_PATTERNS} different sets of sources")
+    patterns = {r["mask"]: r["n"] for r in sums}
     flows, quotas = plan(patterns, sources, total)
 
     # Stretches of each pattern's line, one source after the other.
@@ -165,7 +171,7 @@ def mix_sources(documents: DataFrame, targets: DataFrame, tokenizer, total: int
     starts = by_slot.select("mask", "slot", F.coalesce(F.sum("tokens").over(slot_start), F.lit(0)).alias("before"))
     within = Window.partitionBy("mask", "slot").orderBy("at", "item").rowsBetween(Window.unboundedPreceding, -1)
     placed = items.withColumn("start", F.coalesce(F.sum("tokens").over(within), F.lit(0))).join(starts, ["mask", "slot"]).withColumn("start", F.col("start") + F.col("before"))
-    # At most patterns x sources rows.
+    # At most MOST_PATTERNS x MOST_SOURCES rows, mostly of one source a pattern.
     taken = placed.join(F.broadcast(lines), "mask")
     laps = lambda upto: F.ceil((F.col(upto) - F.col("start")) / F.col("length"))
     uses = (F.greatest(laps("hi"), F.lit(0)) - F.greatest(laps("lo"), F.lit(0))).cast("int")

@@ -133,6 +133,17 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_documents(spark, sf_dir), table(spark, sf_dir, "mix_targets"), read_tokenizer(spark, TOKENIZER))[1]
 
 
+def p7_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source, over_cap, foreign of every target: its documents in the mix that are used more than max_repeats times, and
+    those whose own label is another source's. Both are to be 0."""
+    label = lambda c: F.lower(F.trim(c))
+    mixed = p7_mix(spark, sf_dir).groupBy("source", "doc_id").agg(F.sum("uses").alias("uses"))
+    own = table(spark, sf_dir, "documents").select("doc_id", label("source").alias("own"))
+    targets = table(spark, sf_dir, "mix_targets").select(label("source").alias("source"), "max_repeats")
+    rows = targets.join(mixed.join(own, "doc_id", "left"), "source", "left")
+    return rows.groupBy("source").agg(F.count(F.when(F.col("uses") > F.col("max_repeats"), 1)).alias("over_cap"), F.count(F.when(F.col("doc_id").isNotNull() & ~F.col("own").eqNullSafe(F.col("source")), 1)).alias("foreign"))
+
+
 def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_quality(_documents(spark, sf_dir), "doc_id", "text", table(spark, sf_dir, "common_words"))
 
@@ -142,7 +153,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_outcomes, p3_found, p3_pieces, p3_cover, p5_found, p5_error_rate, p6_ids, p7_mix, p7_shares, p8_found, p8_stats)}
+    return {f.__name__: f for f in (p1_found, p1_outcomes, p3_found, p3_pieces, p3_cover, p5_found, p5_error_rate, p6_ids, p7_mix, p7_shares, p7_caps, p8_found, p8_stats)}
 
 
 #: The digits of a fingerprint in DuckDB, for a column {0}.
@@ -173,6 +184,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_outcomes": _P1 + "SELECT id AS occurrence_id, CASE WHEN id IN (SELECT later FROM e) THEN 'exact' WHEN id IN (SELECT later FROM m) THEN 'near' ELSE 'new' END AS outcome FROM f",
         "p3_found": _P3 + "SELECT job_id, file_path FROM m GROUP BY job_id, file_path HAVING sum(greatest(b - greatest(a, top), 0)) > 8192",
         "p3_cover": _P3 + "SELECT job_id, file_path, sum(greatest(b - greatest(a, top), 0))::BIGINT AS covered, true AS largest_fits FROM m GROUP BY job_id, file_path HAVING sum(greatest(b - greatest(a, top), 0)) > 8192",
+        "p7_caps": "SELECT lower(trim(source)) AS source, 0::BIGINT AS over_cap, 0::BIGINT AS \"foreign\" FROM mix_targets",
         "p5_found": _P5 + "SELECT arrival_no FROM s WHERE seen",
         "p5_error_rate": _P5 + "SELECT count(*) AS rows, count(*) FILTER (k IS NULL) AS without_key, count(*) FILTER (seen) AS seen, 0::BIGINT AS wrong, 0.0::DOUBLE AS error_rate FROM s",
     }
