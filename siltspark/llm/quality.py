@@ -1,9 +1,11 @@
 """Per-document text quality: counts, divergence from prose, and what most lines are.
 
-Every line becomes counts of what its parts are: function words, other words, sentence ends, numbers, list marks, cell
-delimiters, code, encoded or random characters. Jensen-Shannon divergence to the profiles of prose, code, lists, tables
-and junk assigns the nearest one. Over the whole text, the distributions of function words and of character classes are
-compared with those of each language's prose in the same way."""
+Every line is three distributions: of what its parts are (function words, other words, sentence ends, numbers, list
+marks, cell delimiters, code, encoded or random characters), of its character classes, and of function words against
+others. Jensen-Shannon divergences of each from the profiles of prose, code, lists, tables and junk, and of the whole
+text's function words from those of each language's prose, add up, and the nearest profile names the line. The profiles
+are means measured over 172,282 lines of ten thousand documents that seeds had sorted: the same parts, compared with
+five profiles set by hand. What a pattern finds in a line is evidence beside the rest, never the verdict."""
 
 from __future__ import annotations
 
@@ -19,24 +21,33 @@ from pyspark.sql import functions as F
 #: What a part of a line can be.
 FUNC, WORD, STOP, NUM, MARK, CELL, CODE, NOISE = range(8)
 KINDS = ("prose", "code", "list", "table", "junk")
-#: Profiles of lines, by kind: shares of function words, words, sentence ends, numbers, marks, delimiters, code, noise.
+#: Measured profiles of lines, by kind: shares of function words, words, sentence ends, numbers, marks, delimiters, code, noise.
 PROFILES = np.array([
-    [0.34, 0.48, 0.12, 0.03, 0.00, 0.00, 0.02, 0.01],
-    [0.05, 0.25, 0.00, 0.05, 0.00, 0.00, 0.65, 0.00],
-    [0.00, 0.70, 0.03, 0.02, 0.25, 0.00, 0.00, 0.00],
-    [0.00, 0.20, 0.00, 0.35, 0.00, 0.45, 0.00, 0.00],
-    [0.00, 0.03, 0.00, 0.02, 0.00, 0.00, 0.00, 0.95],
+    [0.460, 0.389, 0.062, 0.005, 0.000, 0.000, 0.084, 0.000],
+    [0.039, 0.174, 0.000, 0.001, 0.000, 0.000, 0.786, 0.000],
+    [0.000, 0.796, 0.004, 0.000, 0.200, 0.000, 0.000, 0.000],
+    [0.000, 0.134, 0.000, 0.356, 0.000, 0.510, 0.000, 0.000],
+    [0.001, 0.076, 0.007, 0.031, 0.000, 0.000, 0.035, 0.850],
 ])
+#: Measured shares of character classes in lines, by kind; the classes are those of class_counts.
+CHAR_PROFILES = np.array([
+    [0.759, 0.005, 0.003, 0.185, 0.021, 0.025, 0.002, 0.000],
+    [0.516, 0.001, 0.016, 0.283, 0.019, 0.148, 0.017, 0.000],
+    [0.815, 0.008, 0.015, 0.098, 0.014, 0.036, 0.011, 0.003],
+    [0.235, 0.000, 0.264, 0.229, 0.163, 0.035, 0.074, 0.000],
+    [0.346, 0.138, 0.143, 0.051, 0.045, 0.189, 0.008, 0.080],
+])
+#: Function words against all other parts, from the first column of PROFILES.
+WORD_PROFILES = np.stack([PROFILES[:, 0], 1 - PROFILES[:, 0]], axis=1)
+#: Weights of the divergences of characters, of function words against others, and of the text's from its language's.
+CHAR_WEIGHT, WORD_WEIGHT, LANG_WEIGHT = 0.5, 0.25, 0.25
 #: Shares of character classes in prose: lower case and other letters, upper case, digits, blanks, sentence marks, rest.
 PROSE_CHARS = np.array([0.78, 0.02, 0.01, 0.16, 0.025, 0.005])
-#: Lines of a kind that a text must have at least to be called by it.
-LEAST_LINES = 3
-
 #: Blanks of other widths count as blanks; marks without width count as nothing.
 _BLANKS = {c: " " for c in (0xA0, 0x2000, 0x2001, 0x2002, 0x2003, 0x2004, 0x2005, 0x2006, 0x2007, 0x2008, 0x2009, 0x200A, 0x202F, 0x205F, 0x3000)} | {c: None for c in (0x200B, 0x2060, 0xFEFF)}
 _BREAK = re.compile(r"\r\n|\n|\r")
 _HEADER = re.compile(
-    r"[+ -]?(?:commit [0-9a-fé]{20,}|(?:Author|Date|From|To|Cc|Subject|AuthorDate|Commit|CommitDate|Merge|Committer|Index): |From [0-9a-f]{7,}|diff --git |index [0-9a-f]+\.\.|@@ |--- |\+\+\+ |"
+    r"(?:[^\w\s\"'(\[{`$@#/\\.,;:<=+|*-]+\s+)?[+ -]?(?:commit \S{20,}|(?:Author|Date|From|To|Cc|Subject|AuthorDate|Commit|CommitDate|Merge|Committer|Index): |From [0-9a-f]{7,}|diff --git |index [0-9a-f]+\.\.|@@ |--- |\+\+\+ |"
     r"new file mode|deleted file mode|old mode|new mode|rename |copy |similarity index|Binary files |GIT binary patch|literal \d|delta \d|# |#\t|Conflicts:|"
     r"[A-Z][\w-]*-[Bb]y: |(?:Fixes|Refs|Closes|See-also|Change-Id|Reviewed-on|Link|Bug|Issue|Cc): |Merge (?:branch|pull|remote|tag)|This reverts|Revert \")"
 )
@@ -114,6 +125,34 @@ def _tally(text: str) -> tuple[int, int, int]:
     return blank, upper, digits
 
 
+def _classes() -> np.ndarray:
+    """Character class by code point: lower case and caseless letters, upper case, digits, blanks, sentence marks,
+    brackets and operators, rules of tables, others."""
+    table = np.full(0x3100, 7, np.uint8)
+    for code in range(len(table)):
+        c = chr(code)
+        table[code] = 3 if c.isspace() else 1 if c.isupper() else 2 if c.isdigit() else 0 if c.isalpha() else 7
+    for marks, kind in ((".,!?:;'\"。、…’“”", 4), ("()[]{}<>=+*/&^%$#@!\\~`_", 5), ("|-│─━═┼├┤┌┐└┘", 6)):
+        for c in marks:
+            table[ord(c)] = kind if c != "!" else 4
+    return table
+
+
+_CLASS_OF = _classes()
+
+
+def class_counts(lines: list[str]) -> np.ndarray:
+    """Characters of each line by class, all lines at once."""
+    if not lines:
+        return np.zeros((0, 8))
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds = _CLASS_OF.take(codes, mode="clip")
+    beyond = np.flatnonzero(codes >= len(_CLASS_OF))
+    kinds[beyond] = np.where((codes[beyond] >= 0x3400) & (codes[beyond] < 0xD7B0), 0, 7)
+    owner = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
+    return np.bincount(owner * 8 + kinds, minlength=8 * len(lines)).reshape(len(lines), 8).astype(float)
+
+
 class LineCounter:
     def __init__(self, common: dict[str, list[str]]):
         """common: function words of each language, most frequent first."""
@@ -172,7 +211,9 @@ class LineCounter:
             if not all(map(_SIMPLE.match, cells)) or len(cells) == 2 and not any(map(_NUMBER.match, cells)):
                 cells = None
         if cells is None and _noise(s):
-            counts[NOISE] = 1
+            # What looks encoded or random outweighs what its tokens would be.
+            self._parts(s, counts)
+            counts[NOISE] += 2 * sum(counts) + 1
             return counts
         lead = _LEADER.match(s)
         mark = _MARK.match(s)
@@ -221,11 +262,9 @@ class LineCounter:
 
 def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Jensen-Shannon divergence in bits of the rows of p from the rows of q: len(p) x len(q)."""
-    p, q = p[:, None, :], q[None, :, :]
-    m = (p + q) / 2
-    with np.errstate(divide="ignore", invalid="ignore"):
-        side = lambda a: np.where(a > 0, a * np.log2(a / m), 0).sum(axis=2)
-        return (side(p) + side(q)) / 2
+    entropy = lambda a: -(a * np.log2(np.where(a > 0, a, 1))).sum(axis=-1)
+    both = entropy((p[:, None, :] + q[None, :, :]) / 2)
+    return np.maximum(both - (entropy(p)[:, None] + entropy(q)[None, :]) / 2, 0)
 
 
 class Quality:
@@ -243,8 +282,22 @@ class Quality:
                 self.by_lang[i, self.index[w]] = 1 / (rank + 1)
         self.by_lang /= np.maximum(self.by_lang.sum(axis=1, keepdims=True), 1e-9)
 
+    def nearest(self, parts: np.ndarray, chars: np.ndarray, foreign: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Kind of each line. foreign: divergence of its text's function words from the nearest language's."""
+        p = parts / parts.sum(axis=1, keepdims=True)
+        far = divergence(p, PROFILES) + CHAR_WEIGHT * divergence(chars / np.maximum(chars.sum(axis=1, keepdims=True), 1), CHAR_PROFILES)
+        far += WORD_WEIGHT * divergence(np.stack([p[:, FUNC], 1 - p[:, FUNC]], axis=1), WORD_PROFILES)
+        far[:, 0] += LANG_WEIGHT * (foreign - 0.5)
+        kind = far.argmin(axis=1)
+        # An item without a mark is an item only beside others; a line by itself is a title.
+        item = kind == KINDS.index("list")
+        beside = np.zeros(len(kind) + 1, bool)
+        beside[1:-1] = item[:-1] & item[1:] & (owner[:-1] == owner[1:])
+        kind[item & (parts[:, MARK] == 0) & ~beside[:-1] & ~beside[1:]] = 0
+        return kind
+
     def rows(self, texts: list[str | None]) -> list[tuple]:
-        counts, owner, basics = [], [], []
+        counts, owner, kept, basics = [], [], [], []
         funcs = np.zeros((len(texts), max(1, len(self.index))))
         chars = np.zeros((len(texts), 6))
         for d, text in enumerate(texts):
@@ -260,6 +313,7 @@ class Quality:
                 if c is not None and any(c):
                     counts.append(c)
                     owner.append(d)
+                    kept.append(line)
             words = _WORDS.findall(text)
             common = 0
             get = self.index.get
@@ -275,19 +329,20 @@ class Quality:
             stops = sum(map(text.count, ".,!?:;。、"))
             chars[d] = max(0, letters - upper - digits), upper, digits, len(text) - ink, min(stops, symbols), max(0, symbols - stops)
             basics.append((len(lines), len(words), letters / len(words) if words else 0.0, symbols / ink if ink else 0.0, digits / ink if ink else 0.0, upper / ink if ink else 0.0, ended / len(lines) if lines else 0.0, common / len(words) if words else 0.0))
-        share = np.zeros((len(texts), len(KINDS)))
-        if counts:
-            c = np.array(counts, float)
-            nearest = divergence(c / c.sum(axis=1, keepdims=True), PROFILES).argmin(axis=1)
-            np.add.at(share, (np.array(owner), nearest), 1)
         total = funcs.sum(axis=1, keepdims=True)
         by_lang = divergence(funcs / np.maximum(total, 1), self.by_lang) if len(self.langs) else np.ones((len(texts), 1))
+        share = np.zeros((len(texts), len(KINDS)))
+        if counts:
+            of = np.array(owner)
+            # A text without function words tells nothing about its language.
+            foreign = np.where(total[:, 0] > 0, by_lang.min(axis=1), 0.5)[of]
+            np.add.at(share, (of, self.nearest(np.array(counts, float), class_counts(kept), foreign, of)), 1)
         by_char = divergence(chars / np.maximum(chars.sum(axis=1, keepdims=True), 1), PROSE_CHARS[None, :])[:, 0]
         out = []
         for d, b in enumerate(basics):
             n = b[0]
             lines = share[d]
-            kind = next((k for k in ("list", "table", "junk") if lines[KINDS.index(k)] * 2 > n and lines[KINDS.index(k)] >= LEAST_LINES), None)
+            kind = next((k for k in ("list", "table", "junk") if lines[KINDS.index(k)] * 2 > n), None)
             some = total[d, 0] > 0 and len(self.langs) > 0
             lang = self.langs[int(by_lang[d].argmin())] if some else None
             prose = None if not n else float((by_char[d] + (by_lang[d].min() if some else 1.0)) / 2)
@@ -298,7 +353,7 @@ class Quality:
 
 def text_quality(df: DataFrame, id: str, text: str, common_words: DataFrame) -> DataFrame:
     """id and Quality.COLUMNS of every row of df. kind is list, table or junk where more than half of the lines that
-    are not blank (and at least 3) are of that kind, else null. Null, empty and blank texts have zeros, no nearest_lang,
+    are not blank are of that kind, else null. Null, empty and blank texts have zeros, no nearest_lang,
     no divergence and no kind. common_words: lang, word, most frequent first within a language; a fixed list, read by
     the driver, which refuses more than 100,000 rows. Other columns are ignored."""
     rows = common_words.select("lang", "word").filter("lang is not null and word is not null").limit(100_001).collect()

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from siltspark.llm.quality import KINDS, PROFILES, LineCounter, Quality, divergence, text_quality
+from siltspark.llm.quality import KINDS, PROFILES, LineCounter, Quality, class_counts, divergence, text_quality
 
 COMMON = {"en": ["the", "of", "and", "to", "a", "in", "is", "it", "for", "on", "by", "not", "are"], "de": ["der", "die", "und", "in", "den", "das", "ist", "nicht"]}
 PROSE = "The window of the cache is not handed to the reader, and it is late.\nIt was read on a disk by the worker, for all of us.\nThey are slow in the end, and that is it."
@@ -36,6 +36,28 @@ def test_statistics(spark):
     assert text_quality(df.limit(0), "doc_id", "text", words.limit(0)).count() == 0
 
 
+def test_titles_and_short_texts():
+    q = Quality(COMMON)
+    for text, kind in (("Update generated files", None), ("✨ Merge pull request #6202 from a/b-c\n", None), ("gq83Dglt/iM6v1a93p4L8q8pR4gsGdek1859wG9+Cz1aMt\nf3XKxIwEggoPzAV0qH5xjUDmxbELq+qOETp+TPKW2aTKCo", "junk"), ("worker cache\nalpha token", "list")):
+        assert q.rows([text])[0][-1] == kind, text
+
+
+def test_kinds_come_from_the_divergences(monkeypatch):
+    """Without the divergences no kind is right; without those of characters and words some lines of tables are lists."""
+    from siltspark.llm import quality
+
+    texts = [(k, t) for k in ("list", "table", "junk") for t in TEXTS[k]]
+    right = lambda: sum(Quality(COMMON).rows([t])[0][-1] == k for k, t in texts)
+    assert right() == len(texts)
+    monkeypatch.setattr(quality, "divergence", lambda p, q: np.zeros((len(p), len(q))))
+    assert right() == 0
+
+
+def test_character_classes():
+    assert class_counts(["aB1 .(|é漢☃", ""]).astype(int).tolist() == [[3, 1, 1, 1, 1, 1, 1, 1], [0] * 8]
+    assert class_counts([]).shape == (0, 8)
+
+
 def test_divergence():
     assert np.allclose(np.diag(divergence(PROFILES, PROFILES)), 0) and (divergence(np.eye(2), np.eye(2)) == [[0, 1], [1, 0]]).all()
     counter = LineCounter(COMMON)
