@@ -148,12 +148,18 @@ def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_quality(_documents(spark, sf_dir), "doc_id", "text", table(spark, sf_dir, "common_words"))
 
 
+def p8_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, letters, common: the counts behind the word statistics."""
+    whole = lambda c: F.round(F.col(c) * F.col("n_words")).cast("long")
+    return p8_stats(spark, sf_dir).select("doc_id", F.col("n_words").cast("long").alias("n_words"), whole("mean_word_length").alias("letters"), whole("common_words").alias("common"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_stats(spark, sf_dir).select("doc_id", "kind").filter(F.col("kind").isNotNull())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_outcomes, p3_found, p3_pieces, p3_cover, p5_found, p5_error_rate, p6_ids, p7_mix, p7_shares, p7_caps, p8_found, p8_stats)}
+    return {f.__name__: f for f in (p1_found, p1_outcomes, p3_found, p3_pieces, p3_cover, p5_found, p5_error_rate, p6_ids, p7_mix, p7_shares, p7_caps, p8_found, p8_stats, p8_words)}
 
 
 #: The digits of a fingerprint in DuckDB, for a column {0}.
@@ -185,6 +191,8 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": _P3 + "SELECT job_id, file_path FROM m GROUP BY job_id, file_path HAVING sum(greatest(b - greatest(a, top), 0)) > 8192",
         "p3_cover": _P3 + "SELECT job_id, file_path, sum(greatest(b - greatest(a, top), 0))::BIGINT AS covered, true AS largest_fits FROM m GROUP BY job_id, file_path HAVING sum(greatest(b - greatest(a, top), 0)) > 8192",
         "p7_caps": "SELECT lower(trim(source)) AS source, 0::BIGINT AS over_cap, 0::BIGINT AS \"foreign\" FROM mix_targets",
+        "p8_words": """WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}]+(?:[''’-][\\p{L}\\p{N}]+)*') AS l FROM documents), c AS (SELECT list(DISTINCT lower(trim(word))) AS c FROM common_words WHERE lang IS NOT NULL AND word IS NOT NULL)
+SELECT doc_id, len(l)::BIGINT AS n_words, coalesce(list_sum(list_transform(l, lambda x: length(x))), 0)::BIGINT AS letters, len(list_filter(l, lambda x: list_contains(c, lower(x))))::BIGINT AS common FROM w, c""",
         "p5_found": _P5 + "SELECT arrival_no FROM s WHERE seen",
         "p5_error_rate": _P5 + "SELECT count(*) AS rows, count(*) FILTER (k IS NULL) AS without_key, count(*) FILTER (seen) AS seen, 0::BIGINT AS wrong, 0.0::DOUBLE AS error_rate FROM s",
     }
