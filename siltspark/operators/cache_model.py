@@ -10,6 +10,10 @@ from siltspark.functions.columns import weak_hash
 from siltspark.session import default_parallelism, materialize
 
 
+#: Summaries of ranges that are combined at a time.
+AT_ONCE = 8
+
+
 def _recent(keys: list[str], capacity: int) -> list[str]:
     """The last capacity distinct keys of an access log, oldest first."""
     out: dict[str, None] = {}
@@ -36,10 +40,10 @@ def lru_outcomes(accesses: DataFrame, key: str, order: list[str], capacity: int,
     the most recent. order must be unique; rows with a null key never hit and leave the cache as it is.
 
     Exact and parallel: the cache before any position is just the last capacity distinct keys, so each range of the
-    order reports its own last keys. These summaries combine: of two neighbours the last keys of the later one and then
-    of the earlier one. In log2(ranges) rounds each range combines what it has with the range that lies twice as far
-    back, and then holds the cache it starts from; the ranges are replayed independently. A task has at most two
-    summaries of capacity keys and one range."""
+    order reports its own last keys. These summaries combine: of neighbours the last keys of the latest one, then of the
+    one before. In log(ranges) rounds each range combines what it has with that of AT_ONCE ranges, each round that many
+    times as far back, and then holds the cache it starts from; the ranges are replayed independently. A row holds at
+    most AT_ONCE summaries of capacity keys."""
     spark = accesses.sparkSession
     ranges = ranges or default_parallelism(spark)
     names = accesses.columns
@@ -60,13 +64,15 @@ def lru_outcomes(accesses: DataFrame, key: str, order: list[str], capacity: int,
     first = [r["key"] for r in seed.orderBy("age").collect()][-capacity:] if seed is not None else []
     every = spark.range(ranges).select(F.col("id").cast("int").alias("range"))
     start = every.join(start, "range", "left").unionByName(spark.createDataFrame([(0, first)], summary_schema))
-    start = materialize(start.groupBy("range").agg(F.flatten(F.collect_list("keys")).alias("keys")), "lru-start")
-    later = F.udf(lambda near, far: _recent([*(far or []), *(near or [])], capacity), "array<string>")
-    back = 1
-    while back < ranges:
-        far = start.select((F.col("range") + back).alias("range"), F.col("keys").alias("far"))
-        start = materialize(start.join(far, "range", "left").select("range", later("keys", "far").alias("keys")), "lru-start")
-        back *= 2
+    start = start.groupBy("range").agg(F.flatten(F.collect_list("keys")).alias("keys"))
+    merged = F.udf(lambda parts: _recent([k for p in sorted(parts, key=lambda p: -p["back"]) for k in p["keys"] or []], capacity), "array<string>")
+    reach = 1
+    while reach < ranges:
+        # Each round reads the one before once, so the plan grows by a round and no more.
+        ahead = start.select(F.explode(F.sequence(F.lit(0), F.lit(AT_ONCE - 1))).alias("back"), "range", "keys")
+        ahead = ahead.select((F.col("range") + F.col("back") * reach).alias("range"), F.struct("back", "keys").alias("part")).filter(F.col("range") < ranges)
+        start = ahead.groupBy("range").agg(F.collect_list("part").alias("parts")).select("range", merged("parts").alias("keys"))
+        reach *= AT_ONCE
     types = dict(slim.select("_pos.*").dtypes)
 
     def replay(pdf: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
